@@ -1,0 +1,28 @@
+"""The queries of the general problems (p1 to p4 and p7) over the project's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spokeline.operators.near import containing_regions, near_points, regions_of, with_place
+from spokeline.session import keep
+from spokeline.sources.tables import latest_rows, table
+
+NEAR_M = 30.0
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes within 30 m of every place, and the census block that holds it."""
+    poi = latest_rows(table(spark, d, "poi_raw"), ["osm_id"], "extracted_at", ["geometry"])
+    places = keep(with_place(poi, "geometry").where("lat is not null").select("osm_id", "lon", "lat"))
+    nodes = latest_rows(table(spark, d, "nodes"), ["node_id"], "extracted_at", ["lon", "lat"])
+    blocks = latest_rows(table(spark, d, "census_blocks"), ["geoid20"], "extracted_at", ["geometry"])
+    regions = keep(regions_of(blocks, "geometry").withColumnRenamed("geoid20", "iid"))
+    near = near_points(places.withColumnRenamed("osm_id", "iid"), nodes.withColumnRenamed("node_id", "pid"), NEAR_M)
+    held = containing_regions(regions, places.withColumnRenamed("osm_id", "pid"))
+    near = near.select(F.col("iid").alias("osm_id"), F.lit("node").alias("relation"), F.col("pid").cast("string").alias("other_id"))
+    return near.unionAll(held.select(F.col("pid").alias("osm_id"), F.lit("block").alias("relation"), F.col("iid").alias("other_id")))
+
+
+QUERIES = {"p1_found": p1_found}
