@@ -16,7 +16,7 @@ window round a place, or a region's bounding box) with *points*:
    run of that order. Latitude, then the exact test, decide.
 
 No cell holds more than about ``cell_rows`` rows of either side. Nothing but the quantiles and the
-counts of the ranges (at most ``MAX_RANGES`` numbers each) reaches the driver.
+counts of the ranges (at most ``ranges.MAX_RANGES`` numbers each) reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeline.geo import EARTH_RADIUS_M, edges_of, place_of
+from spokeline.operators.ranges import range_cuts
 from spokeline.session import Scratch
 
-MAX_RANGES = 4096
 CANDIDATES = 2_000_000
 Verify = Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -119,10 +119,7 @@ def sweep_join(intervals: DataFrame, points: DataFrame, strip_deg: float, verify
     narrow = scratch.keep(points.select("pid", "lon", "lat", _key(strip("lat"), F.col("lon")).alias("k_lo")))
 
     keys = narrow.select("k_lo").unionAll(wide.select("k_lo"))
-    seen = keys.agg(F.count("*").alias("n"), F.expr(f"percentile_approx(k_lo, transform(sequence(1, {MAX_RANGES - 1}), i -> i / {MAX_RANGES}D), 20000)").alias("cuts")).first()
-    ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(seen["n"] / cell_rows)))
-    fine = np.array(seen["cuts"] or [0.0])
-    cuts = np.unique(fine[np.linspace(0, len(fine) - 1, ranges + 1).round().astype(int)[1:-1]])
+    cuts = np.array(range_cuts(keys, "k_lo", cell_rows))
 
     @F.pandas_udf("lo int, hi int")
     def range_of(lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
