@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeline.geo import EARTH_RADIUS_M, edges_of, place_of
-from spokeline.operators.ranges import range_cuts
+from spokeline.operators.ranges import range_cuts, range_of
 from spokeline.session import Scratch
 
 CANDIDATES = 2_000_000
@@ -119,14 +119,10 @@ def sweep_join(intervals: DataFrame, points: DataFrame, strip_deg: float, verify
     narrow = scratch.keep(points.select("pid", "lon", "lat", _key(strip("lat"), F.col("lon")).alias("k_lo")))
 
     keys = narrow.select("k_lo").unionAll(wide.select("k_lo"))
-    cuts = np.array(range_cuts(keys, "k_lo", cell_rows))
+    cuts = range_cuts(keys, "k_lo", cell_rows)
 
-    @F.pandas_udf("lo int, hi int")
-    def range_of(lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"lo": np.searchsorted(cuts, lo.to_numpy(), side="right"), "hi": np.searchsorted(cuts, hi.to_numpy(), side="right")}, dtype="int32")
-
-    wide = wide.withColumn("r", range_of("k_lo", "k_hi")).withColumn("r", F.explode(F.sequence("r.lo", "r.hi")))
-    narrow = narrow.withColumn("r", range_of("k_lo", "k_lo").getField("lo"))
+    wide = wide.withColumn("r", F.explode(F.sequence(range_of(cuts, F.col("k_lo")), range_of(cuts, F.col("k_hi")))))
+    narrow = narrow.withColumn("r", range_of(cuts, F.col("k_lo")))
     counts = narrow.groupBy("r").agg(F.count("*").alias("p"), F.lit(0).alias("i")).unionAll(wide.groupBy("r").agg(F.lit(0).alias("p"), F.count("*").alias("i")))
     held = counts.groupBy("r").agg(F.sum("p").alias("p"), F.sum("i").alias("i")).where((F.col("p") > cell_rows) | (F.col("i") > cell_rows)).collect()
     grid = {row["r"]: (math.ceil(row["p"] / cell_rows), math.ceil(row["i"] / cell_rows)) for row in held if row["p"] and row["i"]}

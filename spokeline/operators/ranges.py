@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
@@ -23,3 +25,14 @@ def range_cuts(df: DataFrame, column: str, range_rows: int) -> list:
     fine = seen["cuts"] or []
     picked = {fine[min(len(fine) - 1, round(k * MAX_RANGES / ranges) - 1)] for k in range(1, ranges)} if fine else set()
     return sorted(picked)
+
+
+def range_of(cuts: list, column: Column) -> Column:
+    """The range of a value, by binary search: a chain of comparisons would cost each row all cuts."""
+    sorted_cuts = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def search(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sorted_cuts, values.to_numpy(), side="right").astype("int32"))
+
+    return search(column) if cuts else F.lit(0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spokeline.operators.fill_missing import filled, group_labels, propagate
 from spokeline.operators.near import containing_regions, near_points, regions_of, with_place
+from spokeline.operators.split_values import split_values
+from spokeline.operators.table_diff import diff_report, diff_tables
+from spokeline.operators.units import convert_units, hundredths, source_units
 from spokeline.session import keep
-from spokeline.sources.tables import latest_rows, table
+from spokeline.sources.tables import latest_rows, pad_code, table
 
 NEAR_M = 30.0
 
@@ -25,4 +29,82 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionAll(held.select(F.col("pid").alias("osm_id"), F.lit("block").alias("relation"), F.col("iid").alias("other_id")))
 
 
-QUERIES = {"p1_found": p1_found}
+#: The poi_raw tags that may hold several values.
+MULTI_TAGS = ("cuisine", "sport", "payment", "phone")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    segments = latest_rows(table(spark, d, "segments"), ["road_id"], "extracted_at", ["maxspeed"])
+    pois = latest_rows(table(spark, d, "poi_raw"), ["osm_id"], "extracted_at", ["tags"])
+    tags = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.try_element_at("tags", F.lit(k)).alias("value")) for k in MULTI_TAGS]))
+    pois = pois.withColumn("t", tags).select(F.lit("poi_raw").alias("source_table"), F.col("osm_id").alias("record_id"), "t.field", "t.value")
+    segments = segments.select(F.lit("segments").alias("source_table"), F.col("road_id").alias("record_id"), F.lit("maxspeed").alias("field"), F.col("maxspeed").alias("value"))
+    return segments.unionAll(pois).where("value is not null")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per item of every packed field that holds at least two."""
+    split = split_values(keep(_packed(spark, d)))
+    items = split.where(F.size("items") >= 2).select("source_table", "record_id", "field", F.posexplode("items").alias("pos", "item"))
+    return items.withColumn("pos", F.col("pos") + 1)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """maxspeed and width_ft of single values in hundredths of mph and feet."""
+    segments = latest_rows(table(spark, d, "segments"), ["road_id"], "extracted_at", ["maxspeed", "width_ft", "extract_source"])
+    segments = keep(segments.where("maxspeed is not null or width_ft is not null"))
+    speeds = segments.where("maxspeed is not null").select("road_id", F.lit("maxspeed").alias("field"), F.lit("speed").alias("quantity"), F.col("maxspeed").alias("value"), F.col("extract_source").alias("source"))
+    speeds = split_values(speeds).where(F.size("items") == 1).withColumn("value", F.col("items")[0]).drop("items")
+    widths = segments.where("width_ft is not null").select("road_id", F.lit("width_ft").alias("field"), F.lit("length").alias("quantity"), F.col("width_ft").alias("value"), F.col("extract_source").alias("source"))
+    defaults = source_units(table(spark, d, "extracts").dropDuplicates(["extract_source"]), "extract_source", {"speed": "bare_speed_unit", "length": "bare_width_unit"})
+    found = convert_units(speeds.unionByName(widths), defaults).where("converted is not null")
+    return found.select("road_id", "field", hundredths(F.col("converted")).alias("hundredths"))
+
+
+def _stress_differences(spark: SparkSession, d: str) -> DataFrame:
+    reference, computed = (latest_rows(table(spark, d, t), ["road_id"], "loaded_at").drop("loaded_at") for t in ("stress_reference", "stress_computed"))
+    return diff_tables(reference, computed, ["road_id"], tolerance=1e-6)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Roads missing in either copy, and every field that differs in the others."""
+    return _stress_differences(spark, d).select("road_id", "diff")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """The same, counted."""
+    return diff_report(_stress_differences(spark, d))
+
+
+def _within(column: str, low: int, high: int) -> Column:
+    return F.when(F.col(column).between(low, high), F.col(column))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Missing speed limits, lanes and default speeds, filled from the same way, town and class or state."""
+    segments = latest_rows(table(spark, d, "segments"), ["road_id"], "extracted_at", ["osm_id", "city_fips", "functional_class", "speed_limit", "ft_lanes"])
+    segments = keep(segments.withColumns({"speed_limit": _within("speed_limit", 5, 85), "ft_lanes": _within("ft_lanes", 1, 8)}))
+    way = F.col("osm_id").cast("string")
+    town = F.when(F.col("functional_class").isNotNull(), F.concat_ws("|", pad_code(F.col("city_fips"), 7), "functional_class"))
+    town = F.when(F.col("city_fips").isNotNull(), town)
+    out = []
+    for field in ("speed_limit", "ft_lanes"):
+        found = filled(propagate(segments, field, [way, town]))
+        out.append(found.select(F.lit("segments").alias("source_table"), F.col("road_id").cast("string").alias("row_key"), F.lit(field).alias("field"), F.col("label").cast("bigint").alias("filled")))
+
+    # one speed for each code: a repeated code counts once, and is known if any of its rows knows it
+    def speeds(name: str, code: str, width: int) -> DataFrame:
+        rows = table(spark, d, name).where(F.col(code).isNotNull()).select(pad_code(F.col(code), width).alias("code"), _within("speed", 5, 85).alias("speed"))
+        return rows.groupBy("code").agg(F.min("speed").alias("speed"))
+
+    cities, states = speeds("city_fips_speed", "fips_code_city", 7), speeds("state_fips_speed", "fips_code_state", 2)
+    state = F.substring("code", 1, 2)
+    recorded = states.select(F.col("code").alias("g"), F.col("speed").alias("label"))
+    of_cities = filled(propagate(cities, "speed", [state], priors=recorded)).select(F.lit("city_fips_speed").alias("source_table"), F.col("code").alias("row_key"), F.lit("speed").alias("field"), F.col("label").cast("bigint").alias("filled"))
+    # a state's similar records are its cities
+    best = group_labels(cities, state, F.col("speed")).withColumnRenamed("label", "filled")
+    of_states = states.where("speed is null").join(best, F.col("code") == F.col("g")).select(F.lit("state_fips_speed").alias("source_table"), F.col("code").alias("row_key"), F.lit("speed").alias("field"), F.col("filled").cast("bigint").alias("filled"))
+    return out[0].unionAll(out[1]).unionAll(of_cities).unionAll(of_states)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
