@@ -13,7 +13,9 @@ then picks the division. Spans, models and texts live in tables joined by item;
 driver but one number for each delimiter of each field.
 
 A span covers at most ``MAX_INNER`` candidates: longer items don't exist in the lattice, so that a text's
-spans grow with its length, not its square.
+spans grow with its length, not its square. A span that keeps candidates inside is believed in only beyond
+``DISCOUNT`` occurrences in other texts (absolute discounting): that two lists share a stretch by chance is
+no evidence for a value.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from spokeline.session import Scratch
 
 MAX_INNER = 3
+DISCOUNT = 3.0
 ROUNDS = 3
 #: Delimiters, quotes and the units that contain a delimiter.
 DELIMITERS = ";；,|/\n\r\t·"
@@ -103,7 +106,8 @@ def _chance(parts: dict, key: str, own: dict, own_shapes: dict) -> float:
     items, shapes, total = parts["items"], parts["shapes"], parts["total"]
     s = shape(key)
     base = math.log((max(0.0, shapes.get(s, 0.0) - own_shapes.get(s, 0.0)) + 1e-3) / (total + 1.0)) + _surprise(key)
-    seen = max(0.0, items.get(key, 0.0) - own.get(key, 0.0)) / (total + 1.0)
+    (plain, packed), (own_plain, own_packed) = items.get(key, (0.0, 0.0)), own.get(key, (0.0, 0.0))
+    seen = (max(0.0, plain - own_plain) + max(0.0, packed - own_packed - DISCOUNT)) / (total + 1.0)
     return math.log(0.9 * seen + 0.1 * math.exp(max(base, -700.0)) + 1e-300)
 
 
@@ -156,8 +160,10 @@ def _spans_of(text: str) -> tuple[int, list[str], dict[tuple[int, int], str]]:
     return len(parts), delims, {(i, j): _span_text(parts, delims, i, j) for i, j in _lattice(len(parts))}
 
 
-def _model_of(keys, key_counts, shapes, shape_counts, total) -> dict:
-    return {"items": {k: c for k, c in zip(keys, key_counts) if c is not None}, "shapes": {s: c for s, c in zip(shapes, shape_counts) if c is not None}, "total": total or 0.0}
+def _model_of(rows, total) -> dict:
+    """The evidence that came with a text's spans: items (alone, with candidates inside) and shapes."""
+    items = {r["key"]: (r["kc"], r["kp"]) for r in rows if r["kc"] is not None}
+    return {"items": items, "shapes": {r["shape"]: r["sc"] for r in rows if r["sc"] is not None}, "total": total or 0.0}
 
 
 def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -195,24 +201,25 @@ def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     chances: dict[str, dict[str, float]] = {}
 
     def evidence(by: str) -> DataFrame:
-        expected = now.where("key <> ''").select("field", by, (F.col("n") * F.col("post")).alias("c"))
-        return single.select("field", by, "c").unionAll(expected).groupBy("field", by).agg(F.sum("c").alias("c"))
+        weight = F.col("n") * F.col("post")
+        expected = now.where("key <> ''").select("field", by, F.when(F.col("i") == F.col("j"), weight).otherwise(0.0).alias("c"), F.when(F.col("i") < F.col("j"), weight).otherwise(0.0).alias("p"))
+        return single.select("field", by, "c", F.lit(0.0).alias("p")).unionAll(expected).groupBy("field", by).agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
 
     def scored(final: bool) -> DataFrame:
         """Every text with its spans' evidence, through the lattice once more."""
-        items, shapes = evidence("key").withColumnRenamed("c", "kc"), evidence("shape").withColumnRenamed("c", "sc")
+        items, shapes = evidence("key").withColumnsRenamed({"c": "kc", "p": "kp"}), evidence("shape").select("field", "shape", (F.col("c") + F.col("p")).alias("sc"))
         totals = {r["field"]: r["c"] for r in single.select("field", "c").unionAll(now.select("field", (F.col("n") * F.col("post")).alias("c"))).groupBy("field").agg(F.sum("c").alias("c")).collect()}
-        row = F.struct("i", "j", "key", "shape", "post", "kc", "sc")
+        row = F.struct("i", "j", "key", "shape", "post", "kc", "kp", "sc")
         joined = now.join(items, ["field", "key"], "left").join(shapes, ["field", "shape"], "left")
         grouped = joined.groupBy("field", "id").agg(F.collect_list(row).alias("rows")).join(texts, ["field", "id"])
         learnt = {f: dict(c) for f, c in chances.items()}
 
         def read(field: str, text: str, weight: float, rows) -> tuple[int, list[str], dict, dict]:
             n, delims, found = _spans_of(text)
-            model = _model_of([r["key"] for r in rows], [r["kc"] for r in rows], [r["shape"] for r in rows], [r["sc"] for r in rows], totals.get(field))
-            own, own_shapes = defaultdict(float), defaultdict(float)
+            model = _model_of(rows, totals.get(field))
+            own, own_shapes = defaultdict(lambda: [0.0, 0.0]), defaultdict(float)
             for r in rows:
-                own[r["key"]] += weight * r["post"]
+                own[r["key"]][r["i"] < r["j"]] += weight * r["post"]
                 own_shapes[r["shape"]] += weight * r["post"]
             keys = {(r["i"], r["j"]): r["key"] for r in rows}
             # an empty piece is no value and costs nothing
