@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeline.llm.components import group_records
+from spokeline.llm.encode import encode_corpus
+from spokeline.llm.quantile_sketch import percentiles
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, table
 
@@ -18,4 +20,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return group_records(segments, "road_id", ends.join(nodes, "key", "left_semi"))
 
 
-QUERIES = {"p5_found": p5_found}
+PERCENTS = (25, 50, 75, 90, 95, 99)
+
+
+def _reach(spark: SparkSession, d: str) -> DataFrame:
+    fields = ("pop_low_stress", "pop_high_stress")
+    rows = latest_rows(table(spark, d, "destinations"), ["id"], "loaded_at", ["dest_type", *fields])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields]))
+    return rows.select("dest_type", pairs.alias("p")).select("dest_type", "p.*").where("v >= 0")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of both reach columns per destination type."""
+    found = percentiles(_reach(spark, d), ["dest_type", "field"], "v", PERCENTS)
+    return found.withColumn("amount", F.col("amount").cast("bigint"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
