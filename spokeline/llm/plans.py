@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spokeline.llm.components import group_records
 from spokeline.llm.encode import encode_corpus
+from spokeline.llm.pack import pack_texts
 from spokeline.llm.quantile_sketch import percentiles
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, table
@@ -41,4 +42,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
+#: Tokens in a container.
+CAPACITY = 2048
+
+
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every piece of one larger than a container."""
+    return pack_texts(table(spark, d, "documents"), CAPACITY)
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens, the fewest containers possible, and how many are over capacity (none)."""
+    sizes = p9_pack(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return sizes.agg(
+        F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.ceil(F.sum("n") / CAPACITY).alias("least_containers"),
+        F.count_if(F.col("n") > CAPACITY).alias("over_capacity"), (F.sum("n") / (F.count("*") * CAPACITY)).alias("fill"),
+    )
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_report": p9_report}
