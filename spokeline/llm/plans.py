@@ -9,6 +9,7 @@ from spokeline.llm.components import group_records
 from spokeline.llm.encode import encode_corpus
 from spokeline.llm.pack import pack_texts
 from spokeline.llm.quantile_sketch import percentiles
+from spokeline.llm.reading import reading_levels
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, table
 
@@ -60,4 +61,15 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_report": p9_report}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document with enough words."""
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "level_grades").select("doc_id", "rater", "reading_level"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and reading level."""
+    levels = p10_found(spark, d)
+    return table(spark, d, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
