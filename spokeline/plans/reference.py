@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeline.functions import parse, scoring
+from spokeline.functions import parse
 from spokeline.operators import network, reach
-from spokeline.operators.fill_missing import group_labels
 from spokeline.plans import stress
-from spokeline.rules import analysis, apply, matcher, read_matcher, read_program
+from spokeline.rules import apply, matcher, read_matcher, read_program
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, pad_code, table
 
@@ -41,7 +40,7 @@ def _latest(name: str, key: str, at: str) -> str:
     return f"(select * exclude (rn) from (select *, row_number() over (partition by {key} order by {at} desc) rn from {name}) where rn = 1)"
 
 
-SEG, NODE, POI = _latest("segments", "road_id", "extracted_at"), _latest("nodes", "node_id", "extracted_at"), _latest("poi_raw", "osm_id", "extracted_at")
+SEG, NODE = _latest("segments", "road_id", "extracted_at"), _latest("nodes", "node_id", "extracted_at")
 DEST, BLOCK = _latest("destinations", "id", "loaded_at"), _latest("census_blocks", "geoid20", "extracted_at")
 
 # --- rules: tests ---------------------------------------------------------------------------------------
@@ -276,9 +275,10 @@ def node_usage_counts(spark: SparkSession, d: str) -> DataFrame:
     return network.node_usage(_ways(spark, d))
 
 
-@query("""with u as (select l_partkey, count(*) > 1 as cut from lineitem group by 1), p as (select l_orderkey, l_partkey, l_linenumber, cut, coalesce(sum(cut::int) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and 1 preceding), 0) as b,
-      sum(cut::int) over (partition by l_orderkey order by l_linenumber) as a from lineitem join u using (l_partkey)), q as (select l_orderkey, l_partkey, l_linenumber, b as part from p union all select l_orderkey, l_partkey, l_linenumber, a from p where a <> b)
-    select l_orderkey as osm_id, part::bigint as part, count(*) as n_nodes, arg_min(l_partkey, l_linenumber) as first_node, arg_max(l_partkey, l_linenumber) as last_node from q group by 1, 2 having count(*) >= 2""")
+@query("""with u as (select l_partkey, count(*) > 1 as cut from lineitem group by 1), o as (select l_orderkey, l_partkey, cut::int as cut, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos from lineitem join u using (l_partkey)),
+      p as (select *, coalesce(sum(cut) over (partition by l_orderkey order by pos rows between unbounded preceding and 1 preceding), 0) as b, sum(cut) over (partition by l_orderkey order by pos rows between unbounded preceding and current row) as a from o),
+      q as (select l_orderkey, l_partkey, pos, b as part from p union all select l_orderkey, l_partkey, pos, a from p where a <> b)
+    select l_orderkey as osm_id, part::bigint as part, count(*) as n_nodes, arg_min(l_partkey, pos) as first_node, arg_max(l_partkey, pos) as last_node from q group by 1, 2 having count(*) >= 2""")
 def way_split_ordered(spark: SparkSession, d: str) -> DataFrame:
     """Ways cut at shared nodes."""
     return network.split_ways(_ways(spark, d)).select("osm_id", F.col("part").cast("bigint").alias("part"), F.size("node_ids").cast("bigint").alias("n_nodes"), F.element_at("node_ids", 1).alias("first_node"), F.element_at("node_ids", -1).alias("last_node"))
