@@ -38,7 +38,7 @@ def propagate(records: DataFrame, value: str, tiers: Sequence[Column], kind: str
 
     ``value`` must be null where it is missing. Each tier is an expression that names the record's group, null
     for none. ``priors`` (g, label) are labels of groups known beforehand; they speak for the last tier where
-    no record does. ``label`` and ``filled_by`` must not be columns of ``records`` already.
+    no record does. Columns of ``records`` named ``label`` or ``filled_by`` are replaced. An empty table stays empty.
     """
     scratch = Scratch(records.sparkSession)
     names = [f"__g{k}" for k in range(len(tiers))]

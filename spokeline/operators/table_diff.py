@@ -70,7 +70,7 @@ def _fingerprints(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def diff_rows(reference: DataFrame, computed: DataFrame, keys: Sequence[str], fields: Sequence[str] | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """(keys, __in_reference, __in_computed, a, b) of all rows that may differ, values as structs a and b.
+    """(keys, __in_reference, __in_computed, __a, __b) of all rows that may differ, values as structs.
 
     One row per key on each side is expected (``latest_rows``); null keys equal each other. ``fields`` are by
     default the columns both sides have. Integers compare with integers of any width, numbers with numbers.
@@ -94,23 +94,23 @@ def diff_rows(reference: DataFrame, computed: DataFrame, keys: Sequence[str], fi
     for mine, other, k in ((prints[0], prints[1], kept[0]), (prints[1], prints[0], kept[1])):
         odd = mine.join(other, on(mine, other), "left_anti").select("__range", "__chunk")
         rows.append(k.join(odd, ["__range", "__chunk"], "left_semi"))
-    a, b = (r.select(*[F.col(c).alias(f"{side}_{c}") for c in keys], F.struct(*fields).alias(side), F.lit(True).alias(f"in_{side}")) for r, side in zip(rows, "ab"))
-    joined = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in keys]), "full_outer")
-    key = [F.when(F.col("in_a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in keys]
-    return joined.select(*key, F.coalesce("in_a", F.lit(False)).alias("__in_reference"), F.coalesce("in_b", F.lit(False)).alias("__in_computed"), "a", "b")
+    a, b = (r.select(*[F.col(c).alias(f"__{side}_{c}") for c in keys], F.struct(*fields).alias(f"__{side}"), F.lit(True).alias(f"__in_{side}")) for r, side in zip(rows, "ab"))
+    joined = a.join(b, reduce(lambda x, y: x & y, [F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}")) for c in keys]), "full_outer")
+    key = [F.when(F.col("__in_a"), F.col(f"__a_{c}")).otherwise(F.col(f"__b_{c}")).alias(c) for c in keys]
+    return joined.select(*key, F.coalesce("__in_a", F.lit(False)).alias("__in_reference"), F.coalesce("__in_b", F.lit(False)).alias("__in_computed"), "__a", "__b")
 
 
 def diff_tables(reference: DataFrame, computed: DataFrame, keys: Sequence[str], fields: Sequence[str] | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(keys, diff, reference_value, computed_value): a row for each missing row and each differing field."""
     rows = diff_rows(reference, computed, keys, fields, tolerance)
-    names = rows.schema["a"].dataType.fieldNames()
-    numbers = {f.name for f in rows.schema["a"].dataType if _is_number(f.dataType)}
+    names = rows.schema["__a"].dataType.fieldNames()
+    numbers = {f.name for f in rows.schema["__a"].dataType if _is_number(f.dataType)}
     both = F.col("__in_reference") & F.col("__in_computed")
     entry = lambda name, x, y: F.struct(F.lit(name).alias("diff"), x.cast("string").alias("reference_value"), y.cast("string").alias("computed_value"))
     nothing = F.lit(None)
     found = [F.when(~F.col("__in_computed"), entry(ONLY_REFERENCE, nothing, nothing)), F.when(~F.col("__in_reference"), entry(ONLY_COMPUTED, nothing, nothing))]
     for c in names:
-        x, y = F.col("a").getField(c), F.col("b").getField(c)
+        x, y = F.col("__a").getField(c), F.col("__b").getField(c)
         found.append(F.when(both & differs(x, y, c in numbers, tolerance), entry(c, x, y)))
     return rows.select(*keys, F.explode(F.filter(F.array(*found), lambda d: d.isNotNull())).alias("d")).select(*keys, "d.*")
 

@@ -116,10 +116,10 @@ def convert_units(records: DataFrame, defaults: DataFrame, value: str = "value",
     records = records.join(given, (F.col(source) == F.col("__s")) & (F.col(quantity) == F.col("__q2")), "left")
     found = F.when(F.col("__own").isNotNull(), F.col("__named")).otherwise(F.col("__given"))
     records = records.withColumn("unit_found", F.when(F.col("number").isNotNull(), found))
-    scale = aliases.dropDuplicates(["quantity", "unit"]).select(F.col("quantity").alias("__q3"), F.col("unit").alias("__u"), "factor", "offset")
+    scale = aliases.dropDuplicates(["quantity", "unit"]).select(F.col("quantity").alias("__q3"), F.col("unit").alias("__u"), F.col("factor").alias("__factor"), F.col("offset").alias("__offset"))
     records = records.join(F.broadcast(scale), (F.col(quantity) == F.col("__q3")) & (F.col("unit_found") == F.col("__u")), "left")
-    records = records.withColumn("converted", F.col("number") * F.col("factor") + F.col("offset"))
-    return records.drop("__t", "__w", "__own", "__q", "__a", "__named", "__s", "__q2", "__given", "__q3", "__u", "factor", "offset")
+    records = records.withColumn("converted", F.col("number") * F.col("__factor") + F.col("__offset"))
+    return records.drop("__t", "__w", "__own", "__q", "__a", "__named", "__s", "__q2", "__given", "__q3", "__u", "__factor", "__offset")
 
 
 def hundredths(c: Column) -> Column:
