@@ -385,9 +385,9 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dead_end_peel(spark: SparkSession, d: str) -> DataFrame:
-    """Minor streets of dead ends, peeled until none is left."""
+    """Paths and tracks that end nowhere, peeled until none is left."""
     df = segments_of(spark, d, "start_node_id", "end_node_id", "functional_class")
-    return network.peel_dead_ends(df, F.col("functional_class").isin("residential", "path", "track", "unclassified")).select("road_id")
+    return network.peel_dead_ends(df, F.col("functional_class").isin("path", "track")).select("road_id")
 
 
 @query()
