@@ -1,10 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer by one global shuffle of distinct words.
 
 Texts are cut into pre-tokens (the tokenizer's own pattern), whose ids don't depend on their neighbours.
-Every text sends each of its distinct words once, with the positions; each distinct word of the corpus is
-encoded once; ids are joined back by word and put in order of position. The counts of the words, known
-from the distinct step, single out the words that occur in more than 1/HOT of all rows, at most ``HOT`` of
-them: their ids are broadcast, since a word that is in every text would crowd one task of the join.
+A few texts that follow one another form a block of up to ``BLOCK`` pre-tokens; it sends each of its distinct
+words once, with its positions packed in bytes. Each distinct word of the corpus is encoded once; ids are
+joined back by word, and every block is put together again in order of position.
+
+The counts of the words, known from the distinct step, single out the words that occur in more than 1/HOT of
+all rows, at most ``HOT`` of them: their ids are broadcast, since a word that is in every block would crowd
+one task of the join.
 
 Null and empty texts have the ids ``[]``.
 """
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from spokeline.session import Scratch
 
 HOT = 1000
+BLOCK = 60_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -46,51 +50,58 @@ def _encoding(path: str):
 
 
 def pre_tokens(docs: DataFrame, doc: str, text: str, path: str) -> DataFrame:
-    """(row, doc, word, at ARRAY<INT>): the distinct pre-tokens of every text with their positions.
+    """(block, word, at BINARY, docs, sizes): the distinct pre-tokens of every block with their positions.
 
-    ``row`` numbers the input rows, so that repeated document ids stay apart; a text without pre-tokens
-    has one row with a null word.
+    A row with a null word lists the block's documents and their numbers of pre-tokens, in order; so
+    repeated document ids stay apart. Positions are packed as 16-bit numbers, in blocks of one longer
+    text as 32-bit ones.
     """
     kind = docs.schema[doc].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _encoding(path)[1].findall
-        first = TaskContext.get().partitionId() << 33
-        owner, words, ats = [], [], []
+        block = TaskContext.get().partitionId() << 33
+        places: dict[str, list[int]] = {}
+        ids: list = []
+        sizes: list[int] = []
+        types = None
+
+        def out() -> pa.RecordBatch:
+            n = len(places) + 1
+            width = np.uint16 if sum(sizes) <= 65_536 else np.uint32
+            arrays = [
+                pa.array(np.full(n, block)), pa.array([None, *places], pa.string()),
+                pa.array([None, *(np.array(p, dtype=width).tobytes() for p in places.values())], pa.binary()),
+                pa.array([ids] + [None] * (n - 1), pa.list_(types)), pa.array([sizes] + [None] * (n - 1), pa.list_(pa.int32())),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "word", "at", "docs", "sizes"])
+
+        done = 0
         for batch in batches:
-            ids = batch[doc]
-
-            def out(start: int = first, ids: pa.Array = ids) -> pa.RecordBatch:
-                rows = pa.array(owner, pa.int64())
-                arrays = [pa.array([start + o for o in owner], pa.int64()), ids.take(rows), pa.array(words, pa.string()), pa.array(ats, pa.list_(pa.int32()))]
-                return pa.RecordBatch.from_arrays(arrays, names=["row", doc, "word", "at"])
-
-            for k, t in enumerate(batch[text].to_pylist()):
-                places: dict[str | None, list[int]] = {}
-                for i, w in enumerate(find(t or "")):
-                    places.setdefault(w, []).append(i)
-                if not places:
-                    places[None] = []
-                owner += [k] * len(places)
-                words += places.keys()
-                ats += places.values()
-                if len(words) > 50_000:
+            types = batch.schema.field(doc).type
+            for name, t in zip(batch[doc].to_pylist(), batch[text].to_pylist()):
+                words = find(t) if t else []
+                if ids and done + len(words) > BLOCK:
                     yield out()
-                    owner, words, ats = [], [], []
+                    block, done, places, ids, sizes = block + 1, 0, {}, [], []
+                for w in words:
+                    places.setdefault(w, []).append(done)
+                    done += 1
+                ids.append(name)
+                sizes.append(len(words))
+        if ids:
             yield out()
-            owner, words, ats = [], [], []
-            first += len(ids)
 
-    return docs.select(doc, text).mapInArrow(cut, f"row bigint, `{doc}` {kind}, word string, at array<int>")
+    return docs.select(doc, text).mapInArrow(cut, f"block bigint, word string, at binary, docs array<{kind}>, sizes array<int>")
 
 
 def word_ids(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of the distinct words: each is encoded once."""
+    """(word, n, ids BINARY) of the distinct words: each is encoded once, into 32-bit ids."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids(column: pd.Series) -> pd.Series:
         encoding = _encoding(path)[0]
-        return pd.Series([encoding.encode_ordinary(w) for w in column], dtype="object")
+        return pd.Series([np.array(encoding.encode_ordinary(w), dtype="<u4").tobytes() for w in column], dtype="object")
 
     return words.groupBy("word").agg(F.count("*").alias("n")).withColumn("ids", ids("word"))
 
@@ -110,21 +121,34 @@ def encode_corpus(docs: DataFrame, doc: str = "doc_id", text: str = "text", path
     path = path or tokenizer_path()
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(pre_tokens(docs, doc, text, path))
-    wordy = rows.where("word is not null")
+    wordy = rows.where("word is not null").select("block", "word", "at")
     words = scratch.keep(word_ids(wordy, path))
-    joined = join_words(wordy, words, ["ids"], scratch)
-
-    @F.pandas_udf("array<int>")
-    def in_order(entries: pd.Series) -> pd.Series:
-        out = []
-        for found in entries:
-            at = np.concatenate([e["at"] for e in found])
-            ids = [e["ids"] for e in found for _ in range(len(e["at"]))]
-            out.append(np.concatenate([ids[i] for i in np.argsort(at)]))
-        return pd.Series(out, dtype="object")
-
-    whole = joined.groupBy("row").agg(F.first(doc).alias(doc), F.collect_list(F.struct("at", "ids")).alias("e")).select(doc, in_order("e").alias("ids"))
-    return whole.unionAll(rows.where("word is null").select(doc, F.array().cast("array<int>").alias("ids")))
+    joined = join_words(wordy, words, ["ids"], scratch).select("block", "at", "ids", F.lit(None).cast(rows.schema["docs"].dataType).alias("docs"), F.lit(None).cast("array<int>").alias("sizes"))
+    heads = rows.where("word is null").select("block", "at", F.lit(None).cast("binary").alias("ids"), "docs", "sizes")
+    entry = F.when(F.col("at").isNotNull(), F.struct("at", "ids"))
+    blocks = joined.unionAll(heads).groupBy("block").agg(F.collect_list(entry).alias("e"), F.first("docs", True).alias("docs"), F.first("sizes", True).alias("sizes"))
+    blocks = blocks.select("docs", "sizes", F.col("e.at").alias("at"), F.col("e.ids").alias("ids"))
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                names, sizes = batch["docs"][k].values, np.array(batch["sizes"][k].as_py(), dtype=np.int64)
+                total = int(sizes.sum())
+                places = [np.frombuffer(p, dtype="<u2" if total <= 65_536 else "<u4").astype(np.int64) for p in batch["at"][k].as_py()]
+                found = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in batch["ids"][k].as_py()]
+                length = np.zeros(total, dtype=np.int64)
+                for p, x in zip(places, found):
+                    length[p] = len(x)
+                starts = np.concatenate([[0], np.cumsum(length)])
+                flat = np.empty(starts[-1], dtype=np.int32)
+                for p, x in zip(places, found):
+                    for j, token in enumerate(x):
+                        flat[starts[p] + j] = token
+                offsets = starts[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[doc, "ids"])
+
+    return blocks.mapInArrow(assemble, f"`{doc}` {kind}, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, doc: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
