@@ -1,7 +1,7 @@
 """Several values packed in one field, split by a segmentation model learnt from the column itself.
 
 A text is a chain of pieces between *candidate* delimiters; what stands in quotes or round brackets, and
-units such as km/h, hold no candidates. Every run of neighbouring pieces (a *span*) may be one item, and a
+units such as km/h and decimal commas before a unit, hold no candidates. Every run of neighbouring pieces (a *span*) may be one item, and a
 division of the text is a path through the lattice of spans. A path's probability is the product of its
 items' probabilities and, for every candidate, of the chance that its delimiter divides or doesn't.
 
@@ -12,6 +12,9 @@ off to the item's shape (digits as 9, letters as a), so that values seen once ar
 then picks the division. Spans, models and texts live in tables joined by item; nothing grows on the
 driver but one number for each delimiter of each field.
 
+A text is settled once no span with candidates inside has a chance above ``PRUNE`` left: its pieces are its
+items, it goes on speaking as evidence, and later rounds only work on the others.
+
 A span covers at most ``MAX_INNER`` candidates: longer items don't exist in the lattice, so that a text's
 spans grow with its length, not its square. A span that keeps candidates inside is believed in only beyond
 ``DISCOUNT`` occurrences in other texts (absolute discounting): that two lists share a stretch by chance is
@@ -23,8 +26,11 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +39,18 @@ from spokeline.session import Scratch
 MAX_INNER = 3
 DISCOUNT = 3.0
 ROUNDS = 3
+PRUNE = 1e-4
+HINT = 1e-8
 #: Delimiters, quotes and the units that contain a delimiter.
 DELIMITERS = ";；,|/\n\r\t·"
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 UNITS = re.compile(r"(?<![A-Za-z])(?:km|mi|m|ft|l)\s*/\s*(?:h|s|min)(?![A-Za-z])", re.I)
+#: A comma between a number and one more digit with a unit behind it is a decimal sign: 80,5 km/h.
+DECIMAL = re.compile(r"(?<=\d),(?=\d\s*[^\W\d_])")
 _CANDIDATE = re.compile(rf"\s*[{re.escape(DELIMITERS)}](?:\s*[{re.escape(DELIMITERS)}])*\s*")
 _DIGITS = str.maketrans({c: str(i % 10) for i, c in enumerate("0123456789０１２３４５６７８９")})
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _COMMA = re.compile(r"(?<=\d),(?=\d)")
 
 
@@ -62,7 +73,7 @@ def _masked(text: str) -> str:
     masked = "".join(out)
     for m in UNITS.finditer(masked):
         masked = masked[: m.start()] + "x" * (m.end() - m.start()) + masked[m.end() :]
-    return masked
+    return DECIMAL.sub("x", masked)
 
 
 def clean_item(text: str) -> str:
@@ -93,24 +104,47 @@ def item_key(text: str) -> str:
 
 
 def shape(key: str) -> str:
-    return _LETTERS.sub("a", re.sub(r"\d", "9", key))
+    return _item_shape(key)[0]
+
 
+def _item_shape(key: str) -> tuple[str, float]:
+    """The shape of an item, and the log chance of the item among those of its shape: digits and letters drawn evenly."""
+    plain, digits = _DIGIT.subn("9", key)
+    out, runs = _LETTERS.subn("a", plain)
+    letters = len(plain) - len(out) + runs
+    return out, -math.log(10) * digits - math.log(20) * letters
 
-def _surprise(key: str) -> float:
-    """Log chance of an item given its shape: digits and letters drawn evenly."""
-    return -math.log(10) * sum(c.isdigit() for c in key) - math.log(20) * sum(c.isalpha() for c in key)
 
+@lru_cache(maxsize=200_000)
+def _features(text: str) -> tuple[str, str, float]:
+    key = item_key(text)
+    return (key, *_item_shape(key))
 
-def _chance(parts: dict, key: str, own: dict, own_shapes: dict) -> float:
-    """Log chance of an item from the evidence of the other texts."""
-    items, shapes, total = parts["items"], parts["shapes"], parts["total"]
-    s = shape(key)
-    base = math.log((max(0.0, shapes.get(s, 0.0) - own_shapes.get(s, 0.0)) + 1e-3) / (total + 1.0)) + _surprise(key)
-    (plain, packed), (own_plain, own_packed) = items.get(key, (0.0, 0.0)), own.get(key, (0.0, 0.0))
-    seen = (max(0.0, plain - own_plain) + max(0.0, packed - own_packed - DISCOUNT)) / (total + 1.0)
-    return math.log(0.9 * seen + 0.1 * math.exp(max(base, -700.0)) + 1e-300)
 
+def _chances(keys: list, shapes: list, hard: list, inner: list, own: list, kc: list, kp: list, sc: list, total: float) -> list[float]:
+    """Log chance of each span's item from the evidence of the other texts; an empty piece costs nothing.
 
+    own: how often this text itself counts each span; inner: its candidates inside; kc, kp, sc: evidence of the item alone, of the item with
+    candidates inside, and of its shape; hard: the log chance of the item among those of its shape.
+    """
+    alone, packed, alike = defaultdict(float), defaultdict(float), defaultdict(float)
+    for key, shape_, within, weight in zip(keys, shapes, inner, own):
+        (packed if within else alone)[key] += weight
+        alike[shape_] += weight
+    out = []
+    for key, shape_, h, within, c, p, s in zip(keys, shapes, hard, inner, kc, kp, sc):
+        if key == "":
+            out.append(0.0)
+            continue
+        # an unseen shape with candidates inside is worth no more than as many unseen ones without
+        unseen = (1e-3 / total) ** (within + 1) * math.exp(-len(shape_))
+        base = (max(0.0, s - alike[shape_]) / total + unseen) * math.exp(max(h, -600.0))
+        seen = (max(0.0, c - alone[key]) + max(0.0, p - packed[key] - DISCOUNT)) / total
+        out.append(math.log(0.9 * seen + 0.1 * base + 1e-300))
+    return out
+
+
+@lru_cache(maxsize=1000)
 def _lattice(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i, min(n, i + MAX_INNER + 1))]
 
@@ -120,30 +154,37 @@ def _sum_logs(values: list[float]) -> float:
     return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
 
 
-def _weights(n: int, delims: list[str], score: dict, chance: dict) -> dict:
+def _weights(marks: str, score: dict, chance: dict) -> dict:
     """Log weight of every span: its item, the candidates it keeps and the one that ends it."""
-    keeps = [math.log(1 - chance.get(d.strip()[:1] or d[:1], 0.5)) for d in delims]
-    splits = [math.log(chance.get(d.strip()[:1] or d[:1], 0.5)) for d in delims]
-    return {(i, j): score[i, j] + sum(keeps[i:j]) + (splits[j] if j < n - 1 else 0.0) for i, j in _lattice(n)}
-
-
-def posteriors(n: int, delims: list[str], score: dict, chance: dict) -> dict:
-    """Chance of each span to be an item, by forward-backward."""
-    w = _weights(n, delims, score, chance)
+    keeps = [math.log(1 - chance.get(d, 0.5)) for d in marks]
+    splits = [math.log(chance.get(d, 0.5)) for d in marks]
+    return {(i, j): c + sum(keeps[i:j]) + (splits[j] if j < len(marks) else 0.0) for (i, j), c in score.items()}
+
+
+def posteriors(marks: str, score: dict, chance: dict) -> dict:
+    """Chance of each span to be an item, by forward-backward; every single piece must be among the spans."""
+    w, n = _weights(marks, score, chance), len(marks) + 1
+    starts, ends = defaultdict(list), defaultdict(list)
+    for i, j in w:
+        starts[i].append(j)
+        ends[j].append(i)
     front, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
     for j in range(n):
-        front[j + 1] = _sum_logs([front[i] + w[i, j] for i in range(max(0, j - MAX_INNER), j + 1)])
+        front[j + 1] = _sum_logs([front[i] + w[i, j] for i in ends[j]])
     for i in range(n - 1, -1, -1):
-        back[i] = _sum_logs([w[i, j] + back[j + 1] for j in range(i, min(n, i + MAX_INNER + 1))])
-    return {(i, j): math.exp(front[i] + w[i, j] + back[j + 1] - front[n]) for i, j in w}
+        back[i] = _sum_logs([w[i, j] + back[j + 1] for j in starts[i]])
+    return {(i, j): math.exp(min(0.0, front[i] + w[i, j] + back[j + 1] - front[n])) for i, j in w}
 
 
-def best_path(n: int, delims: list[str], score: dict, chance: dict) -> list[tuple[int, int]]:
+def best_path(marks: str, score: dict, chance: dict) -> list[tuple[int, int]]:
     """Viterbi; of equal paths the one with more items."""
-    w = _weights(n, delims, score, chance)
+    w, n = _weights(marks, score, chance), len(marks) + 1
+    ends = defaultdict(list)
+    for i, j in w:
+        ends[j].append(i)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
     for j in range(n):
-        best[j + 1] = max((best[i][0] + w[i, j], i) for i in range(max(0, j - MAX_INNER), j + 1))
+        best[j + 1] = max((best[i][0] + w[i, j], i) for i in ends[j])
     path, j = [], n
     while j:
         path.append((best[j][1], j - 1))
@@ -155,15 +196,50 @@ def _span_text(parts: list[str], delims: list[str], i: int, j: int) -> str:
     return "".join(x for k in range(i, j + 1) for x in (parts[k], delims[k] if k < j else ""))
 
 
-def _spans_of(text: str) -> tuple[int, list[str], dict[tuple[int, int], str]]:
-    parts, delims = pieces(text)
-    return len(parts), delims, {(i, j): _span_text(parts, delims, i, j) for i, j in _lattice(len(parts))}
+def _mark(delimiter: str) -> str:
+    """The character that stands for a run of delimiters."""
+    return delimiter.strip()[:1] or delimiter[:1]
+
+
+_SPAN = "field string, id string, n bigint, marks string, i int, j int, key string, shape string, hard double, post double, open boolean"
+
+
+def _batch(columns: dict[str, list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in schema], names=[c for c, _ in schema])
 
 
-def _model_of(rows, total) -> dict:
-    """The evidence that came with a text's spans: items (alone, with candidates inside) and shapes."""
-    items = {r["key"]: (r["kc"], r["kp"]) for r in rows if r["kc"] is not None}
-    return {"items": items, "shapes": {r["shape"]: r["sc"] for r in rows if r["sc"] is not None}, "total": total or 0.0}
+_SPAN_ARROW = [("field", pa.string()), ("id", pa.string()), ("n", pa.int64()), ("marks", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.string()), ("shape", pa.string()), ("hard", pa.float64()), ("post", pa.float64()), ("open", pa.bool_())]
+
+
+@lru_cache(maxsize=1000)
+def _first_guess(n: int) -> list[float]:
+    """Every division equally likely, at little weight: texts without candidates speak first."""
+    post = posteriors(";" * (n - 1), dict.fromkeys(_lattice(n), 0.0), {})
+    return [HINT * post[s] for s in _lattice(n)]
+
+
+def _all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every span of every text."""
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c, _ in _SPAN_ARROW}
+        for field, digest, text, n in zip(*[batch[c].to_pylist() for c in ("field", "id", "value", "n")]):
+            parts, delims = pieces(text)
+            lattice = _lattice(len(parts))
+            found = [_features(_span_text(parts, delims, i, j)) for i, j in lattice]
+            _extend(out, (field, digest, n, "".join(map(_mark, delims))), [x[0] for x in lattice], [x[1] for x in lattice], *zip(*found), _first_guess(len(parts)), True)
+            if len(out["i"]) > 50_000:
+                yield _batch(out, _SPAN_ARROW)
+                out = {c: [] for c, _ in _SPAN_ARROW}
+        yield _batch(out, _SPAN_ARROW)
+
+
+def _extend(out: dict[str, list], text: tuple, i, j, key, shapes, hard, post, unsettled: bool) -> None:
+    """Add one text's spans to the columns of ``_SPAN``."""
+    for c, v in zip(("field", "id", "n", "marks"), text):
+        out[c] += [v] * len(i)
+    for c, v in zip(("i", "j", "key", "shape", "hard", "post"), (i, j, key, shapes, hard, post)):
+        out[c] += v
+    out["open"] += [unsettled] * len(i)
 
 
 def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -177,107 +253,101 @@ def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def look(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            many, key = bool(_CANDIDATE.search(_masked(t))), item_key(t)
-            rows.append((many, key, shape(key)))
+            many = bool(_CANDIDATE.search(_masked(t)))
+            rows.append((True, "", "") if many else (False, *_features(t)[:2]))
         return pd.DataFrame(rows, columns=["many", "key", "shape"])
 
     # spans carry the text's digest, not the text: a long text has many of them
     looked = values.where(F.col("value").isNotNull()).withColumn("l", look("value"))
-    looked = scratch.keep(looked.select("field", "value", F.md5(F.encode("value", "UTF-8")).alias("id"), "n", "l.*"))
-    single = looked.where("not many and key <> ''").select("field", "key", "shape", F.col("n").cast("double").alias("c"))
+    looked = scratch.keep(looked.select("field", "value", F.md5(F.encode("value", "UTF-8")).alias("id"), F.col("n").cast("bigint").alias("n"), "l.*"))
     texts = looked.where("many").select("field", "id", "value", "n")
+    now = scratch.keep(texts.select("field", "id", "value", "n").mapInArrow(_all_spans, _SPAN))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        """Expected counts of items: alone (c), with candidates inside (p)."""
+        weight, inner = F.col("n") * F.col("post"), F.col("i") < F.col("j")
+        rows = rows.where("key <> ''").select("field", "key", "shape", F.when(inner, 0.0).otherwise(weight).alias("c"), F.when(inner, weight).otherwise(0.0).alias("p"))
+        return rows.groupBy("field", "key", "shape").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+
+    single = looked.where("not many and key <> ''").groupBy("field", "key", "shape").agg(F.sum(F.col("n").cast("double")).alias("c"), F.lit(0.0).alias("p"))
+    settled = [scratch.keep(single)]
+    marks = now.where("i = j and i < length(marks)").select("field", F.substr("marks", F.col("i") + 1, F.lit(1)).alias("mark"), "n")
+    all_marks = {(r["field"], r["mark"]): r["n"] for r in marks.groupBy("field", "mark").agg(F.sum("n").alias("n")).collect()}
+    kept_marks: dict[tuple[str, str], float] = {}
+    sizes = settled[0].select("field", "c").unionAll(now.where("i = j").select("field", F.col("n").cast("double").alias("c")))
+    totals = {r["field"]: r["c"] + 1.0 for r in sizes.groupBy("field").agg(F.sum("c").alias("c")).collect()}
+
+    def grouped() -> DataFrame:
+        """Every text at work with its spans and their evidence."""
+        items = reduce(DataFrame.unionAll, [*settled, summed(now)]).groupBy("field", "key", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp"))
+        shapes = items.groupBy("field", "shape").agg((F.sum("kc") + F.greatest(F.sum("kp") - DISCOUNT, F.lit(0.0))).alias("sc"))
+        model = items.join(shapes, ["field", "shape"]).select("field", "key", "kc", "kp", "sc")
+        row = F.struct("i", "j", "key", "shape", "hard", "post", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("kc", "kp", "sc")])
+        joined = now.join(model, ["field", "key"], "left")
+        whole = joined.groupBy("field", "id").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.collect_list(row).alias("s"))
+        return whole.select("field", "id", "n", "marks", *[F.col(f"s.{c}").alias(c) for c in ("i", "j", "key", "shape", "hard", "post", "kc", "kp", "sc")])
+
+    def learnt() -> dict[str, dict[str, float]]:
+        out: dict[str, dict[str, float]] = defaultdict(dict)
+        if kept_marks:
+            for (field, mark), n in all_marks.items():
+                out[field][mark] = min(max((n - kept_marks.get((field, mark), 0.0) + 1.0) / (n + 2.0), 1e-6), 1 - 1e-6)
+        return dict(out)
+
+    def lattices(batch: pa.RecordBatch) -> Iterator[tuple]:
+        columns = [batch[c].to_pylist() for c in ("field", "id", "n", "marks", "i", "j", "key", "shape", "hard", "post", "kc", "kp", "sc")]
+        for field, digest, n, marks, i, j, key, shapes, hard, post, kc, kp, sc in zip(*columns):
+            inner, own = [b - a for a, b in zip(i, j)], [n * p for p in post]
+            chance = _chances(key, shapes, hard, inner, own, kc, kp, sc, totals[field])
+            yield field, digest, n, marks, dict(zip(zip(i, j), chance)), dict(zip(zip(i, j), zip(key, shapes, hard)))
 
-    @F.pandas_udf("array<struct<i:int,j:int,key:string,shape:string,post:double>>")
-    def spans(column: pd.Series) -> pd.Series:
+    for _ in range(rounds):
+        chances = learnt()
+
+        def expect(batches: Iterator[pa.RecordBatch], chances: dict = chances) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: dict[str, list] = {c: [] for c, _ in _SPAN_ARROW}
+                for field, digest, n, marks, score, items in lattices(batch):
+                    post = posteriors(marks, score, chances.get(field, {}))
+                    kept = [s for s, p in post.items() if s[0] == s[1] or p > PRUNE]
+                    _extend(out, (field, digest, n, marks), [s[0] for s in kept], [s[1] for s in kept], *zip(*[items[s] for s in kept]), [post[s] for s in kept], len(kept) > len(marks) + 1)
+                yield _batch(out, _SPAN_ARROW)
+
+        step = scratch.keep(grouped().mapInArrow(expect, _SPAN))
+        settled.append(scratch.keep(summed(step.where("not open"))))
+        now = step.where("open")
+        kept = now.where("i < j").select("field", F.explode(F.split(F.expr("substr(marks, i + 1, j - i)"), "")).alias("mark"), (F.col("n") * F.col("post")).alias("c"))
+        kept_marks = {(r["field"], r["mark"]): r["c"] for r in kept.groupBy("field", "mark").agg(F.sum("c").alias("c")).collect()}
+        if not kept_marks:
+            break
+
+    chances = learnt()
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(f, d, [i for i, _ in best_path(marks, score, chances.get(f, {}))]) for f, d, _, marks, score, _ in lattices(batch)]
+            columns = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32()))], names=["field", "id", "starts"])
+
+    @F.pandas_udf("array<string>")
+    def items_of(value: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
-        for t in column:
-            n, delims, found = _spans_of(t)
-            post = posteriors(n, delims, dict.fromkeys(found, 0.0), {})
-            keys = {k: item_key(x) for k, x in found.items()}
-            out.append([(i, j, keys[i, j], shape(keys[i, j]), post[i, j]) for i, j in found])
+        for text, begin in zip(value, starts):
+            parts, delims = pieces(text)
+            begin = range(len(parts)) if begin is None else list(begin)
+            found = [clean_item(_span_text(parts, delims, i, j - 1)) for i, j in zip(begin, [*begin[1:], len(parts)])]
+            out.append([x for x in found if x])
         return pd.Series(out, dtype="object")
 
-    now = scratch.keep(texts.withColumn("s", F.explode(spans("value"))).select("field", "id", "n", "s.*"))
-    chances: dict[str, dict[str, float]] = {}
-
-    def evidence(by: str) -> DataFrame:
-        weight = F.col("n") * F.col("post")
-        expected = now.where("key <> ''").select("field", by, F.when(F.col("i") == F.col("j"), weight).otherwise(0.0).alias("c"), F.when(F.col("i") < F.col("j"), weight).otherwise(0.0).alias("p"))
-        return single.select("field", by, "c", F.lit(0.0).alias("p")).unionAll(expected).groupBy("field", by).agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
-
-    def scored(final: bool) -> DataFrame:
-        """Every text with its spans' evidence, through the lattice once more."""
-        items, shapes = evidence("key").withColumnsRenamed({"c": "kc", "p": "kp"}), evidence("shape").select("field", "shape", (F.col("c") + F.col("p")).alias("sc"))
-        totals = {r["field"]: r["c"] for r in single.select("field", "c").unionAll(now.select("field", (F.col("n") * F.col("post")).alias("c"))).groupBy("field").agg(F.sum("c").alias("c")).collect()}
-        row = F.struct("i", "j", "key", "shape", "post", "kc", "kp", "sc")
-        joined = now.join(items, ["field", "key"], "left").join(shapes, ["field", "shape"], "left")
-        grouped = joined.groupBy("field", "id").agg(F.collect_list(row).alias("rows")).join(texts, ["field", "id"])
-        learnt = {f: dict(c) for f, c in chances.items()}
-
-        def read(field: str, text: str, weight: float, rows) -> tuple[int, list[str], dict, dict]:
-            n, delims, found = _spans_of(text)
-            model = _model_of(rows, totals.get(field))
-            own, own_shapes = defaultdict(lambda: [0.0, 0.0]), defaultdict(float)
-            for r in rows:
-                own[r["key"]][r["i"] < r["j"]] += weight * r["post"]
-                own_shapes[r["shape"]] += weight * r["post"]
-            keys = {(r["i"], r["j"]): r["key"] for r in rows}
-            # an empty piece is no value and costs nothing
-            score = {k: 0.0 if key == "" else _chance(model, key, own, own_shapes) for k, key in keys.items()}
-            return n, delims, found, score
-
-        if final:
-
-            @F.pandas_udf("array<string>")
-            def divide(field: pd.Series, value: pd.Series, n: pd.Series, rows: pd.Series) -> pd.Series:
-                out = []
-                for f, t, w, r in zip(field, value, n, rows):
-                    size, delims, found, score = read(f, t, w, r)
-                    items = [clean_item(found[k]) for k in best_path(size, delims, score, learnt.get(f, {}))]
-                    out.append([x for x in items if x])
-                return pd.Series(out, dtype="object")
-
-            return grouped.select("field", "value", divide("field", "value", "n", "rows").alias("items"))
-
-        @F.pandas_udf("array<struct<i:int,j:int,key:string,shape:string,post:double,mark:string>>")
-        def expect(field: pd.Series, value: pd.Series, n: pd.Series, rows: pd.Series) -> pd.Series:
-            out = []
-            for f, t, w, r in zip(field, value, n, rows):
-                size, delims, _, score = read(f, t, w, r)
-                post = posteriors(size, delims, score, learnt.get(f, {}))
-                marks = [d.strip()[:1] or d[:1] for d in delims]
-                out.append([(x["i"], x["j"], x["key"], x["shape"], post[x["i"], x["j"]], marks[x["j"]] if x["j"] < size - 1 else None) for x in r])
-            return pd.Series(out, dtype="object")
-
-        @F.pandas_udf("map<string,double>")
-        def marks_of(value: pd.Series) -> pd.Series:
-            out = []
-            for t in value:
-                count: dict[str, float] = defaultdict(float)
-                for d in pieces(t)[1]:
-                    count[d.strip()[:1] or d[:1]] += 1.0
-                out.append(dict(count))
-            return pd.Series(out, dtype="object")
-
-        step = scratch.keep(grouped.select("field", "id", "n", F.explode(expect("field", "value", "n", "rows")).alias("s")).select("field", "id", "n", "s.*"))
-        divided = step.where("mark is not null").groupBy("field", "mark").agg(F.sum(F.col("n") * F.col("post")).alias("cut"))
-        all_marks = texts.select("field", "n", F.explode(marks_of("value")).alias("mark", "k")).groupBy("field", "mark").agg(F.sum(F.col("n") * F.col("k")).alias("all"))
-        for r in all_marks.join(divided, ["field", "mark"], "left").collect():
-            chance = ((r["cut"] or 0.0) + 1.0) / (r["all"] + 2.0)
-            chances.setdefault(r["field"], {})[r["mark"]] = min(max(chance, 1e-6), 1 - 1e-6)
-        return step
-
-    for _ in range(rounds):
-        before, now = now, scored(False)
-        scratch.drop(before)
-    return scored(True)
+    starts = grouped().mapInArrow(divide, "field string, id string, starts array<int>")
+    return texts.join(starts, ["field", "id"], "left").select("field", "value", items_of("value", "starts").alias("items"))
 
 
 def split_values(records: DataFrame, value: str = "value", field: str = "field") -> DataFrame:
     """``records`` with ``items``, the list of values in ``value`` (a null text gives null).
 
     Empty and blank texts have no items. Equal texts of one field are divided alike, whatever their
-    rows. Other columns pass through; ``items`` must not be one of them.
+    rows. Other columns pass through; one named ``items`` is replaced.
     """
     scratch = Scratch(records.sparkSession)
     counts = records.where(F.col(value).isNotNull()).groupBy(F.col(field).alias("field"), F.col(value).alias("value")).agg(F.count("*").alias("n"))

@@ -63,3 +63,13 @@ def test_forward_backward_equals_enumeration():
     got = S.posteriors(marks, score, chance)
     assert all(abs(got[s] - want[s]) < 1e-9 for s in lattice)
     assert tuple(S.best_path(marks, score, chance)) == max(weights, key=weights.get)
+
+
+def test_decimal_commas_before_a_unit_hold_no_candidate():
+    assert S.pieces("80,5 km/h; 30,50")[0] == ["80,5 km/h", "30", "50"]
+    assert S.pieces("~48,3km/h")[0] == ["~48,3km/h"] and S.pieces("30,5")[0] == ["30", "5"]
+
+
+def test_shape_and_surprise():
+    assert S._item_shape("max 30.5 mph")[0] == "a 99.9 a"
+    assert abs(S._item_shape("ab1")[1] + S.math.log(10) + 2 * S.math.log(20)) < 1e-12
