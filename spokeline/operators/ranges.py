@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
+#: Quantiles asked for at first; only larger tables need a second look.
+FEW = 256
 
 
 def range_cuts(df: DataFrame, column: str, range_rows: int) -> list:
@@ -19,11 +21,20 @@ def range_cuts(df: DataFrame, column: str, range_rows: int) -> list:
     most ``MAX_RANGES``: that many numbers reach the driver, whatever the size of the data.
     """
     spark = df.sparkSession
-    fractions = ",".join(f"{i / MAX_RANGES!r}D" for i in range(1, MAX_RANGES))
-    seen = df.agg(F.count(column).alias("n"), F.expr(f"percentile_approx(`{column}`, array({fractions}), 20000)").alias("cuts")).first()
-    ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(seen["n"] / range_rows)))
-    fine = seen["cuts"] or []
-    picked = {fine[min(len(fine) - 1, round(k * MAX_RANGES / ranges) - 1)] for k in range(1, ranges)} if fine else set()
+
+    def quantiles(parts: int) -> tuple[int, list]:
+        # as text: one expression to parse, where 4096 literals of their own would cost a call each
+        fractions = ",".join(f"{i / parts!r}D" for i in range(1, parts))
+        seen = df.agg(F.count(column).alias("n"), F.expr(f"percentile_approx(`{column}`, array({fractions}), 20000)").alias("cuts")).first()
+        return seen["n"], seen["cuts"] or []
+
+    fine = FEW
+    n, values = quantiles(fine)
+    ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / range_rows)))
+    if ranges > FEW:
+        fine = MAX_RANGES
+        values = quantiles(fine)[1]
+    picked = {values[min(len(values) - 1, max(0, round(k * fine / ranges) - 1))] for k in range(1, ranges)} if values else set()
     return sorted(picked)
 
 
