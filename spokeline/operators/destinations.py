@@ -13,18 +13,36 @@ from spokeline.session import keep
 def cluster_places(places: DataFrame, reach_m: float, by: str | None = None) -> DataFrame:
     """(id, cluster): places linked by steps of at most ``reach_m``; the cluster is named by its smallest id.
 
-    places: id, lon, lat and, with ``by``, a column (the type) within which alone places cluster. The links
-    come from the strip sweep, the clusters from label spreading: no pair of distant places is ever looked at.
+    places: id, lon, lat and, with ``by``, a column (the type) within which alone places cluster; a place of
+    several types then has a row for each, which ``cluster_types`` tells apart. The links come from the strip
+    sweep, the clusters from label spreading: no pair of distant places is ever looked at.
     """
+    if by:
+        return cluster_types(places, reach_m, by).select("id", "cluster")
     places = keep(places)
     pairs = near_points(places.withColumnRenamed("id", "iid"), places.withColumnRenamed("id", "pid"), reach_m).where("iid < pid")
-    if by:
-        kinds = places.select("id", by)
-        pairs = pairs.join(kinds.withColumnsRenamed({"id": "iid", by: "x"}), "iid").join(kinds.withColumnsRenamed({"id": "pid", by: "y"}), "pid").where("x = y")
     named = connected_components(pairs.select(F.col("iid").alias("a"), F.col("pid").alias("b")))
     return places.join(named, places["id"] == named["v"], "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
+def cluster_types(places: DataFrame, reach_m: float, by: str) -> DataFrame:
+    """(id, ``by``, cluster): places clustered within each type; the cluster is named by its smallest id.
+
+    places: id, lon, lat and the type, a row for each type of a place. The vertices of the graph are (type, id):
+    a place of two types has a part in a cluster of each and ties neither to the other. A null type links nothing.
+    """
+    places = keep(places.select("id", "lon", "lat", by).distinct())
+    spots = places.select("id", "lon", "lat").distinct()
+    kinds = places.groupBy("id").agg(F.collect_set(by).alias("kinds"))
+    pairs = near_points(spots.withColumnRenamed("id", "iid"), spots.withColumnRenamed("id", "pid"), reach_m).where("iid < pid").distinct()
+    pairs = pairs.join(kinds.withColumnsRenamed({"id": "iid", "kinds": "x"}), "iid").join(kinds.withColumnsRenamed({"id": "pid", "kinds": "y"}), "pid")
+    pairs = pairs.select("iid", "pid", F.explode(F.array_intersect("x", "y")).alias("kind"))
+    vertex = lambda c: F.struct(F.col("kind"), F.col(c).alias("id"))
+    named = connected_components(pairs.select(vertex("iid").alias("a"), vertex("pid").alias("b"))).select(F.col("v.id").alias("v"), F.col("v.kind").alias("kind"), F.col("component.id").alias("component"))
+    members = places.select("id", by).distinct()
+    return members.join(named, (members["id"] == named["v"]) & (members[by] == named["kind"]), "left").select("id", members[by], F.coalesce("component", "id").alias("cluster"))
+
+
 def block_lists(regions: DataFrame, places: DataFrame) -> DataFrame:
     """(id, blockid20 ARRAY<STRING>): the blocks that hold each place, none for places outside all."""
     held = containing_regions(regions, places.withColumnRenamed("id", "pid"))

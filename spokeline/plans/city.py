@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spokeline.functions import scoring
 from spokeline.operators import city
-from spokeline.operators.destinations import block_lists, cluster_places, outside_regions
+from spokeline.operators.destinations import block_lists, cluster_types, outside_regions
 from spokeline.operators.near import regions_of, with_place
 from spokeline.plans.reference import BLOCK, DEST, NODE, SEG, nodes_of, segments_of
 from spokeline.plans.stress import segment_stress_program
@@ -215,8 +215,10 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def poi_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Places of one type within 50 m of each other, directly or over others, as one destination."""
-    return cluster_places(_places(spark, d), 50.0, by="kind")
+    """Places of one type within 50 m of each other, directly or over others, as one destination of that type."""
+    poi = latest_rows(table(spark, d, "poi_raw"), ["osm_id"], "extracted_at", ["geometry", "matched_types"])
+    places = with_place(poi, "geometry").where("lat is not null").select(F.col("osm_id").alias("id"), "lon", "lat", F.explode("matched_types").alias("type")).where("type is not null")
+    return cluster_types(places, 50.0, "type")
 
 
 @query()

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spokeline.config import Config
 from spokeline.operators import network as N
 from spokeline.operators import reach as R
@@ -100,6 +101,14 @@ def test_clusters(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_place_clusters_in_each_of_its_types(spark, tmp_path):
+    spots = [(1, 7.0, ["park", "clinic"]), (2, 7.0005, ["clinic"]), (3, 7.001, ["clinic", "park"]), (4, 7.0005, [None, "school"]), (5, 8.0, ["park", "school"]), (6, 8.0005, ["school", "park", "park"]), (7, 8.0, []), (8, 8.0, None)]
+    rows = [(k, f"POINT ({x} 48.0)", t, 1) for k, x, t in spots]
+    spark.createDataFrame(rows, "osm_id long, geometry string, matched_types array<string>, extracted_at int").write.parquet(str(tmp_path / "poi_raw.parquet"))
+    got = sorted((r["id"], r["type"], r["cluster"]) for r in entry.queries()["poi_clusters"](spark, str(tmp_path)).collect())
+    assert got == [(1, "clinic", 1), (1, "park", 1), (2, "clinic", 1), (3, "clinic", 1), (3, "park", 3), (4, "school", 4), (5, "park", 5), (5, "school", 5), (6, "park", 5), (6, "school", 5)]
+
+
 def test_pipeline_order_and_pins(spark):
     assert [s.name for s in in_order(STAGES)].index("scores") > [s.name for s in in_order(STAGES)].index("connectivity")
     with pytest.raises(ValueError):
