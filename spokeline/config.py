@@ -16,7 +16,7 @@ DEFAULTS: dict[str, Any] = {
     "variables": {"speed_bare_unit": "km/h", "city_default_speed": None, "state_default_speed": None},
 }
 #: Which settings a stage's result depends on.
-SLICES = {"streets": (), "census": (), "stress": ("stress",), "graph": ("stress",), "connectivity": ("stress", "reach"), "destinations": ("destinations",), "scores": ("scores",), "neighborhood": ("scores", "stress")}
+SLICES = {"streets": (), "census": (), "attributes": ("variables",), "stress": ("stress", "variables"), "graph": ("stress", "variables"), "connectivity": ("stress", "reach", "variables"), "destinations": ("destinations",), "scores": ("scores",), "neighborhood": ("scores", "stress", "variables")}
 
 
 def merged(base: Mapping[str, Any], layer: Mapping[str, Any]) -> dict:

@@ -13,7 +13,7 @@ from spokeline.config import Config
 from spokeline.operators import city, network, reach
 from spokeline.operators.destinations import block_lists, cluster_places
 from spokeline.operators.near import containing_regions, regions_of, with_place
-from spokeline.plans import stress
+from spokeline.plans import attributes, stress
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, table
 
@@ -92,7 +92,7 @@ def run_stage(stage: Stage, tables: Mapping[str, DataFrame], config: Config) ->
 
 
 def read_inputs(spark: SparkSession, folder: str) -> Tables:
-    return {n: table(spark, folder, n) for n in ("segments", "nodes", "census_blocks", "poi_raw")}
+    return {n: table(spark, folder, n) for n in ("segments", "nodes", "census_blocks", "poi_raw", "extracts", "city_fips_speed", "state_fips_speed")}
 
 
 def _streets(t: Mapping[str, DataFrame], config: Config) -> Tables:
@@ -108,9 +108,13 @@ def _census(t: Mapping[str, DataFrame], config: Config) -> Tables:
     return {"blocks": blocks.withColumnRenamed("geoid20", "block"), "regions": regions_of(blocks, "geometry").withColumnRenamed("geoid20", "iid")}
 
 
+def _attributes(t: Mapping[str, DataFrame], config: Config) -> Tables:
+    return {"ways": attributes.with_attributes(t["streets"], config.get("variables"), t.get("extracts"), t.get("city_fips_speed"), t.get("state_fips_speed"))}
+
+
 def _stress(t: Mapping[str, DataFrame], config: Config) -> Tables:
-    nodes = stress.spread_flags(t["street_nodes"], t["streets"], config.get("stress.flag_radius_m"))
-    rated = stress.segment_stress(t["streets"])
+    nodes = stress.spread_flags(t["street_nodes"], t["ways"], config.get("stress.flag_radius_m"))
+    rated = stress.segment_stress(t["ways"])
     return {"stress": stress.intersection_stress(rated, keep(nodes.select("node_id", *stress.NODE_FLAGS)))}
 
 
@@ -157,7 +161,8 @@ def _neighborhood(t: Mapping[str, DataFrame], config: Config) -> Tables:
 STAGES = (
     Stage("streets", _streets, written=True),
     Stage("census", _census, written=True),
-    Stage("stress", _stress, ("streets",), written=True),
+    Stage("attributes", _attributes, ("streets",), written=True),
+    Stage("stress", _stress, ("streets", "attributes"), written=True, version=2),
     Stage("graph", _graph, ("stress", "census"), written=True),
     Stage("connectivity", _connectivity, ("graph",), written=True),
     Stage("destinations", _destinations, ("census",), written=True),

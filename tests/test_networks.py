@@ -125,6 +125,38 @@ def test_pipeline_order_and_pins(spark):
     assert sorted(map(str, again.tables["scores"].select("block", "pop_high").collect())) == sorted(map(str, result.tables["scores"].select("block", "pop_high").collect()))
 
 
+def test_attributes_stage(spark):
+    rows = [
+        (1, "residential", None, None, 999, None, None, "0100001", None),
+        (2, "residential", None, None, None, 99, -1, "200002", None),
+        (3, "residential", "tf", None, 3, None, None, "0300003", None),
+        (4, "unclassified", None, "13.4", -1, 1, 2, "0100001", "lidar"),
+        (5, "unclassified", None, "~20 mph", None, 1, 2, None, "lidar"),
+        (6, "residential", None, "30", 20, 1, 1, "0100001", "lidar"),
+        (7, "unclassified", None, "40", None, 1, 1, None, None),
+        (8, "primary", None, "signals", 0, 0, None, None, None),
+        (9, "path", None, None, None, None, None, None, None),
+    ]
+    segments = spark.createDataFrame([(k, k, k + 1, 10.0, 1, *r) for k, *r in rows], "road_id int, start_node_id int, end_node_id int, length_m double, extracted_at int, functional_class string, one_way string, maxspeed string, speed_limit int, ft_lanes int, tf_lanes int, city_fips string, extract_source string")
+    inputs = {
+        "segments": segments.withColumn("width_ft", F.when(F.col("road_id") == 4, "3000").when(F.col("road_id") == 5, "12'6")),
+        "nodes": spark.createDataFrame([(1, 7.0, 48.0, False, False, False, False, 1)], "node_id int, lon double, lat double, signalized boolean, stop boolean, rrfb boolean, island boolean, extracted_at int"),
+        "extracts": spark.createDataFrame([("lidar", None, None, "metres per second; thousandths of a metre")], "extract_source string, bare_speed_unit string, bare_width_unit string, description string"),
+        "city_fips_speed": spark.createDataFrame([("100001", 20), ("0300003", 999)], "fips_code_city string, speed int"),
+        "state_fips_speed": spark.createDataFrame([("2", 30), ("02", 30)], "fips_code_state string, speed int"),
+    }
+    tables = score_city(inputs, to_stage="stress").tables
+    got = {r["road_id"]: r for r in tables["ways"].collect()}
+    assert {k: (r["speed_limit"], r["speed_limit_imputed"]) for k, r in got.items()} == {1: (20, True), 2: (30, True), 3: (25, True), 4: (30, False), 5: (20, False), 6: (20, False), 7: (25, False), 8: (40, True), 9: (15, True)}
+    assert {k: (r["ft_lanes"], r["tf_lanes"]) for k, r in got.items()} == {1: (1, 1), 2: (1, 1), 3: (None, 1), 4: (1, 2), 5: (1, 2), 6: (1, 1), 7: (1, 1), 8: (2, 2), 9: (1, 1)}
+    assert round(got[4]["road_width_ft"], 2) == 9.84 and got[5]["road_width_ft"] == 12.5
+    stress = {r["road_id"]: r["tf_seg_stress"] for r in tables["stress"].collect()}
+    assert stress == {1: 1, 2: 3, 3: 1, 4: 3, 5: 1, 6: 1, 7: 1, 8: 3, 9: 1}
+    assert Config.build(overrides={"variables.city_default_speed": "35"}).slice_of("stress") != Config.default().slice_of("stress")
+    town = score_city(inputs, Config.build(overrides={"variables.city_default_speed": "35"}), to_stage="attributes").tables["ways"]
+    assert town.where("road_id = 1").first()["speed_limit"] == 35
+
+
 def test_config():
     assert Config.build().values == Config.default().values and Config.build({"reach": {"ratio": 2.0}}).get("reach.limit_m") == 2680
     with pytest.raises(ValueError):
