@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spokeline import pipeline
+from spokeline.config import Config
 from spokeline.functions import parse
 from spokeline.operators import network, reach
 from spokeline.plans import stress
@@ -375,6 +377,37 @@ def block_pairs_low_stress(spark: SparkSession, d: str) -> DataFrame:
     return reach.block_pairs(high, low, shared, verts.select("block"))
 
 
+ROAD_LIMIT_M = 2680
+
+
+def _roads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All turns of the road network (a, b, cost, link_stress), and the roads of every census block (block, vert)."""
+    made = pipeline.score_city(pipeline.read_inputs(spark, d), to_stage="graph").tables
+    return made["links"], made["block_verts"]
+
+
+@query()
+def road_reach(spark: SparkSession, d: str) -> DataFrame:
+    """The roads that each census block reaches within the limit, all roads being open."""
+    links, verts = _roads(spark, d)
+    return reach.bounded_reach(verts.withColumnRenamed("block", "source"), links, ROAD_LIMIT_M)
+
+
+@query()
+def road_reach_reverse(spark: SparkSession, d: str) -> DataFrame:
+    """How many census blocks can be reached from each road, the roads walked backwards from the blocks."""
+    links, verts = _roads(spark, d)
+    back = reach.reach_back(verts.withColumnRenamed("block", "source"), links, ROAD_LIMIT_M)
+    return back.groupBy("vert").agg(F.count_distinct("source").alias("n_targets"))
+
+
+@query()
+def road_block_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of census blocks within the limit on the road network, with the low-stress flag."""
+    config = Config.build(overrides={"reach.limit_m": ROAD_LIMIT_M})
+    return pipeline.score_city(pipeline.read_inputs(spark, d), config, to_stage="connectivity").tables["connectivity"]
+
+
 @query("""with recursive e as (select distinct least(c_nationkey, s_nationkey)::bigint as a, greatest(c_nationkey, s_nationkey)::bigint as b from customer join supplier on c_nationkey = s_nationkey + 5 and c_acctbal < 0 and s_acctbal < 3000),
     both_ways as (select a, b from e union select b, a from e), r as (select a as v, a as w from both_ways union select r.v, both_ways.b from r join both_ways on r.w = both_ways.a) select v, min(w) as component from r group by 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:

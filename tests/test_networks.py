@@ -125,6 +125,33 @@ def test_pipeline_order_and_pins(spark):
     assert sorted(map(str, again.tables["scores"].select("block", "pop_high").collect())) == sorted(map(str, result.tables["scores"].select("block", "pop_high").collect()))
 
 
+def test_road_reach_equals_dijkstra(spark, tmp_path):
+    rng = random.Random(4)
+    xy = {k: (7 + 0.006 * (k % 6), 48 + 0.004 * (k // 6)) for k in range(36)}
+    near = [(a, b) for a in xy for b in (a + 1, a + 6) if b in xy and (b != a + 1 or b % 6)]
+    roads = [(k, a, b, rng.choice(["residential", "path", "primary", "motorway"]), rng.choice([None, None, "ft", "tf"]), float(rng.randrange(300, 900)), rng.choice([20, 30])) for k, (a, b) in enumerate(near)]
+    segments = spark.createDataFrame([(*r, 1, 1, 1) for r in roads], "road_id int, start_node_id int, end_node_id int, functional_class string, one_way string, length_m double, speed_limit int, ft_lanes int, tf_lanes int, extracted_at int")
+    nodes = spark.createDataFrame([(k, *p, False, False, False, False, 1) for k, p in xy.items()], "node_id int, lon double, lat double, signalized boolean, stop boolean, rrfb boolean, island boolean, extracted_at int")
+    boxes = {f"b{i}{j}": (6.997 + 0.012 * i, 47.998 + 0.008 * j) for i in range(3) for j in range(3)}
+    rings = [(k, f"POLYGON (({x} {y}, {x + 0.012} {y}, {x + 0.012} {y + 0.008}, {x} {y + 0.008}, {x} {y}))", 1, 1, 1) for k, (x, y) in boxes.items()]
+    made = {"segments": segments, "nodes": nodes, "census_blocks": spark.createDataFrame(rings, "geoid20 string, geometry string, pop20 int, aland20 int, extracted_at int")}
+    made |= {n: spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("poi_raw", "extracts", "city_fips_speed", "state_fips_speed")}
+    for name, df in made.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    inside = lambda n, k: 0 < xy[n][0] - boxes[k][0] < 0.012 and 0 < xy[n][1] - boxes[k][1] < 0.008
+    verts = {k: {r[0] for r in roads if inside(r[1], k) or inside(r[2], k)} for k in boxes}
+    leave = [(n, r) for r in roads for n, shut in ((r[2], "tf"), (r[1], "ft")) if r[4] != shut]
+    enter = [(n, r) for r in roads for n, shut in ((r[1], "tf"), (r[2], "ft")) if r[4] != shut]
+    edges = [(a[0], b[0], (a[5] + b[5]) // 2) for n, a in leave for m, b in enter if n == m and a[0] != b[0]]
+    query = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    want = {(k, v): c for k in boxes for v, c in dijkstra(verts[k], edges, 2680).items()}
+    assert {(r["source"], r["vert"]): r["cost"] for r in query("road_reach")} == want and max(want.values()) > 2000
+    back = [v for k in boxes for v in dijkstra(verts[k], [(b, a, c) for a, b, c in edges], 2680)]
+    assert {r["vert"]: r["n_targets"] for r in query("road_reach_reverse")} == {v: back.count(v) for v in back}
+    pairs = {(a, b): min(want[a, v] for v in verts[b] if (a, v) in want) for a in boxes for b in boxes if any((a, v) in want for v in verts[b])}
+    assert {(r["source_block"], r["target_block"]): r["high_stress_cost"] for r in query("road_block_pairs")} == pairs
+
+
 def test_attributes_stage(spark):
     rows = [
         (1, "residential", None, None, 999, None, None, "0100001", None),
