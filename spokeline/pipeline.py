@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spokeline.config import Config
 from spokeline.operators import city, network, reach
-from spokeline.operators.destinations import block_lists, cluster_places
+from spokeline.operators.destinations import block_lists, cluster_types
 from spokeline.operators.near import containing_regions, regions_of, with_place
 from spokeline.plans import attributes, stress
 from spokeline.session import keep
@@ -138,9 +138,9 @@ def _connectivity(t: Mapping[str, DataFrame], config: Config) -> Tables:
 def _destinations(t: Mapping[str, DataFrame], config: Config) -> Tables:
     poi = latest_rows(t["poi_raw"], ["osm_id"], "extracted_at", ["geometry", "matched_types"])
     places = keep(with_place(poi, "geometry").where("lat is not null").select(F.col("osm_id").alias("id"), "lon", "lat", F.explode("matched_types").alias("dest_type")).where("dest_type is not null"))
-    clusters = cluster_places(places, config.get("destinations.cluster_m"), by="dest_type")
+    clusters = cluster_types(places, config.get("destinations.cluster_m"), "dest_type")
     lists = block_lists(t["regions"], places.select("id", "lon", "lat").distinct())
-    rows = places.select("id", "dest_type").join(clusters, "id").join(lists, "id")
+    rows = clusters.join(lists, "id")
     return {"destinations": rows.groupBy("dest_type", F.col("cluster").alias("id")).agg(F.array_distinct(F.flatten(F.collect_set("blockid20"))).alias("blockid20"))}
 
 

@@ -10,6 +10,7 @@ from spokeline.operators import network as N
 from spokeline.operators import reach as R
 from spokeline.operators.attributes import Attribute, AttributeRegistry
 from spokeline.operators.destinations import cluster_places
+from spokeline.operators.near import regions_of
 from spokeline.pipeline import STAGES, Stage, in_order, read_inputs, score_city
 from spokeline.rules import read_program
 from spokeline.sinks import export
@@ -109,6 +110,15 @@ def test_place_clusters_in_each_of_its_types(spark, tmp_path):
     assert got == [(1, "clinic", 1), (1, "park", 1), (2, "clinic", 1), (3, "clinic", 1), (3, "park", 3), (4, "school", 4), (5, "park", 5), (5, "school", 5), (6, "park", 5), (6, "school", 5)]
 
 
+def test_destinations_of_one_type_are_not_tied_by_another(spark):
+    spots = [(1, 7.0, ["park", "clinic"]), (2, 7.0005, ["clinic"]), (3, 7.001, ["clinic", "park"])]
+    poi = spark.createDataFrame([(k, f"POINT ({x} 48.0)", t, 1) for k, x, t in spots], "osm_id long, geometry string, matched_types array<string>, extracted_at int")
+    blocks = spark.createDataFrame([("b", "POLYGON ((6.9 47.9, 7.1 47.9, 7.1 48.1, 6.9 48.1, 6.9 47.9))")], "iid string, geometry string")
+    stage = next(s for s in STAGES if s.name == "destinations")
+    rows = stage.build({"poi_raw": poi, "regions": regions_of(blocks, "geometry")}, Config.default())["destinations"].collect()
+    assert sorted((r["dest_type"], r["id"], tuple(r["blockid20"])) for r in rows) == [("clinic", 1, ("b",)), ("park", 1, ("b",)), ("park", 3, ("b",))]
+
+
 def test_pipeline_order_and_pins(spark):
     assert [s.name for s in in_order(STAGES)].index("scores") > [s.name for s in in_order(STAGES)].index("connectivity")
     with pytest.raises(ValueError):
