@@ -416,6 +416,16 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return network.connected_components(c.join(s, F.col("b") == F.col("a") + 5))
 
 
+@query()
+def road_components(spark: SparkSession, d: str) -> DataFrame:
+    """(road_id, component) of every road: roads linked by shared nodes, the component named by its smallest road."""
+    roads = keep(segments_of(spark, d, "start_node_id", "end_node_id"))
+    ends = roads.select("road_id", F.explode(F.array("start_node_id", "end_node_id")).alias("n")).where("n is not null and road_id is not null")
+    first = ends.groupBy("n").agg(F.min("road_id").alias("b"))
+    named = network.connected_components(ends.join(first, "n").select(F.col("road_id").alias("a"), "b"))
+    return roads.join(named, roads["road_id"] == named["v"], "left").select("road_id", F.coalesce("component", "road_id").alias("component"))
+
+
 @query()
 def dead_end_peel(spark: SparkSession, d: str) -> DataFrame:
     """Paths and tracks that end nowhere, peeled until none is left."""

@@ -119,6 +119,24 @@ def test_destinations_of_one_type_are_not_tied_by_another(spark):
     assert sorted((r["dest_type"], r["id"], tuple(r["blockid20"])) for r in rows) == [("clinic", 1, ("b",)), ("park", 1, ("b",)), ("park", 3, ("b",))]
 
 
+def groups_of(roads):
+    """The smallest road of each road's group, by relabelling until nothing changes."""
+    name = {r[0]: r[0] for r in roads}
+    while True:
+        new = {r[0]: min(name[o[0]] for o in roads if o[0] == r[0] or set(r[1:3]) & set(o[1:3]) - {None}) for r in roads}
+        if new == name:
+            return name
+        name = new
+
+
+def test_road_components(spark, tmp_path):
+    rng = random.Random(6)
+    roads = [(k, rng.randrange(70), rng.randrange(70)) for k in range(40)] + [(k, k, k + 1) for k in range(100, 130)] + [(200, None, None), (201, 5, None)]
+    spark.createDataFrame([(*r, 1) for r in roads], "road_id int, start_node_id int, end_node_id int, extracted_at int").write.parquet(str(tmp_path / "segments.parquet"))
+    got = {r["road_id"]: r["component"] for r in entry.queries()["road_components"](spark, str(tmp_path)).collect()}
+    assert got == groups_of(roads)
+
+
 def test_pipeline_order_and_pins(spark):
     assert [s.name for s in in_order(STAGES)].index("scores") > [s.name for s in in_order(STAGES)].index("connectivity")
     with pytest.raises(ValueError):
