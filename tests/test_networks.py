@@ -1,4 +1,5 @@
 import heapq
+import math
 import random
 
 import pytest
@@ -9,9 +10,10 @@ from spokeline.config import Config
 from spokeline.operators import network as N
 from spokeline.operators import reach as R
 from spokeline.operators.attributes import Attribute, AttributeRegistry
-from spokeline.operators.destinations import cluster_places
+from spokeline.operators.destinations import block_lists, cluster_places
 from spokeline.operators.near import regions_of
 from spokeline.pipeline import STAGES, Stage, in_order, read_inputs, score_city
+from spokeline.plans.stress import spread_flags
 from spokeline.rules import read_program
 from spokeline.sinks import export
 from spokeline.sources.files import find_inputs, read_geojson, store_file
@@ -137,6 +139,49 @@ def test_road_components(spark, tmp_path):
     assert got == groups_of(roads)
 
 
+def test_trails(spark):
+    rng = random.Random(7)
+    xy = {k: (rng.uniform(0, 900), rng.uniform(0, 900)) for k in range(50)}
+    roads = [(k, rng.randrange(50), rng.randrange(50), float(rng.randrange(10, 99)), rng.random() < 0.6) for k in range(45)]
+    rows = [(*r, *xy[r[1]], *xy[r[2]]) for r in roads]
+    df = spark.createDataFrame(rows, "road_id int, start_node_id int, end_node_id int, length_m double, path boolean, x0 double, y0 double, x1 double, y1 double")
+    chosen = [r for r in rows if r[4]]
+    name = groups_of(chosen)
+    want = {}
+    for p in set(name.values()):
+        mine = [r for r in chosen if name[r[0]] == p]
+        xs, ys = [x for r in mine for x in (r[5], r[7])], [y for r in mine for y in (r[6], r[8])]
+        want[p] = (len(mine), sum(r[3] for r in mine), round(((max(xs) - min(xs)) ** 2 + (max(ys) - min(ys)) ** 2) ** 0.5, 6))
+    assert {r["path_id"]: (r["n_segments"], r["path_length"], round(r["bbox_length"], 6)) for r in N.trails(df, F.col("path")).collect()} == want
+
+
+def test_block_lists(spark):
+    rng = random.Random(8)
+    boxes = {f"b{k}": (rng.uniform(7, 7.08), rng.uniform(48, 48.08)) for k in range(12)}
+    text = lambda x, y: f"POLYGON (({x} {y}, {x + 0.03} {y}, {x + 0.03} {y + 0.02}, {x} {y + 0.02}, {x} {y}))"
+    regions = regions_of(spark.createDataFrame([(k, text(*p)) for k, p in boxes.items()], "iid string, geometry string"), "geometry")
+    spots = [(k, rng.uniform(7, 7.12), rng.uniform(48, 48.1)) for k in range(60)] + [(99, 9.0, 48.0)]
+    got = {r["id"]: r["blockid20"] for r in block_lists(regions, spark.createDataFrame(spots, "id int, lon double, lat double")).collect()}
+    assert got == {k: sorted(b for b, (x, y) in boxes.items() if x < lon < x + 0.03 and y < lat < y + 0.02) for k, lon, lat in spots}
+
+
+def test_spread_flags(spark):
+    rng = random.Random(9)
+    nodes = [(k, 7 + rng.uniform(0, 0.002), 48 + rng.uniform(0, 0.0015), *[rng.random() < 0.1 or None for _ in range(4)]) for k in range(60)]
+    roads = [(k, rng.randrange(60), rng.randrange(60)) for k in range(80)]
+    flags = ("signalized", "stop", "rrfb", "island")
+    df = spark.createDataFrame(nodes, "node_id int, lon double, lat double, " + ", ".join(f"{f} boolean" for f in flags))
+    got = {r["node_id"]: [r[f] for f in flags] for r in spread_flags(df, spark.createDataFrame(roads, "road_id int, start_node_id int, end_node_id int"), 25.0).collect()}
+    legs = [n for r in roads for n in r[1:]]
+
+    def metres(a, b):
+        h = math.sin(math.radians(a[2] - b[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(a[1] - b[1]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(h))
+
+    want = {a[0]: [any(b[3 + i] for b in nodes if b is a or (legs.count(a[0]) > 2 and metres(a, b) <= 25)) for i in range(4)] for a in nodes}
+    assert got == want and any(any(want[a[0]]) and not any(a[3:]) for a in nodes)
+
+
 def test_pipeline_order_and_pins(spark):
     assert [s.name for s in in_order(STAGES)].index("scores") > [s.name for s in in_order(STAGES)].index("connectivity")
     with pytest.raises(ValueError):
