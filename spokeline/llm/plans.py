@@ -17,9 +17,8 @@ from spokeline.sources.tables import latest_rows, table
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every road: roads that share nodes, directly or over others."""
     segments = keep(latest_rows(table(spark, d, "segments"), ["road_id"], "extracted_at", ["start_node_id", "end_node_id"]))
-    nodes = table(spark, d, "nodes").select(F.col("node_id").alias("key")).where("key is not null").distinct()
-    ends = segments.select("road_id", F.explode(F.array("start_node_id", "end_node_id")).alias("key")).where("key is not null")
-    return group_records(segments, "road_id", ends.join(nodes, "key", "left_semi"))
+    ends = segments.select("road_id", F.explode(F.array("start_node_id", "end_node_id")).alias("key"))
+    return group_records(segments, "road_id", ends, keys=table(spark, d, "nodes").select(F.col("node_id").alias("key")))
 
 
 PERCENTS = (25, 50, 75, 90, 95, 99)

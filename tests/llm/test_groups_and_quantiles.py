@@ -35,14 +35,19 @@ def test_groups_equal_union_find(spark, monkeypatch):
     odd = [(None, 9999), (800, None), (801, 9998), (801, 9998), (200, 9999)]
     links, records = chain + hub + loose + odd, sorted({*range(61), *range(200, 400), *range(500, 700), 800, 801, 802})
     want = union_find(links, records)
-    hubs = C._hubs
     # every vertex of some degree as a hub: the broadcast path must agree with the shuffle path
-    for force in (False, True):
-        monkeypatch.setattr(C, "_hubs", (lambda s, look, w, t: s.keep(look.where(F.col(w) > 20).select("v", "to"))) if force else hubs)
+    for least, in_one in ((C.LEAST_HUB, C.IN_ONE_TASK), (5, 0), (C.LEAST_HUB, 20)):
+        monkeypatch.setattr(C, "LEAST_HUB", least)
+        monkeypatch.setattr(C, "HUBS", 10**9)
+        monkeypatch.setattr(C, "IN_ONE_TASK", in_one)
         df = spark.createDataFrame([(r,) for r in records] + [(802,), (None,)], "record long").withColumn("root", F.lit(1))
         got = C.group_records(df, "record", spark.createDataFrame(links, "record long, key long").withColumn("v", F.lit(2)))
         found = got.collect()
         assert len(found) == len(records) and dict(map(tuple, found)) == want
+    # keys that aren't listed link nothing
+    keys = spark.createDataFrame([(k,) for k in range(5000, 5010)] * 2 + [(None,)], "key long")
+    got = C.group_records(df, "record", spark.createDataFrame(links, "record long, key long"), keys=keys)
+    assert dict(map(tuple, got.collect())) == union_find([(r, k) for r, k in links if k and 5000 <= k < 5010], records)
 
 
 def test_no_links_and_no_records(spark):
