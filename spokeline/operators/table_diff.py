@@ -2,7 +2,8 @@
 
 Both copies are cut into ranges of keys at the same points and sorted by key inside each range. A rolling
 hash over the last ``WINDOW`` keys cuts a chunk wherever it meets a condition, so that a missing or added
-row moves the cuts next to it and no others. Chunks whose fingerprints (two 64-bit sums over hashes of the
+row moves the cuts next to it and no others; a chunk that has grown to ``LONGEST_CHUNK`` rows without one is cut there,
+counted from the last cut by content. Chunks whose fingerprints (two 64-bit sums over hashes of the
 rows' values, the row count, the first and last key) occur on both sides are equal and drop out by
 anti-joins; only rows of the other chunks are joined by key and compared field by field.
 
@@ -49,14 +50,19 @@ def differs(a: Column, b: Column, number: bool, tolerance: float) -> Column:
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], fields: Sequence[str], numbers: set[str], cuts: list, tolerance: float) -> DataFrame:
+    """``df`` with its range, the chunk (the place of its first row in the range) and two hashes of each row."""
     inside = Window.partitionBy("__range").orderBy("__sort", *keys)
     rolling = F.sum(F.shiftright(F.xxhash64(*keys), 8)).over(inside.rowsBetween(1 - WINDOW, 0))
-    rounded = [F.round(F.col(c) / tolerance).alias(c) if c in numbers else F.col(c) for c in fields]
+    scaled = lambda c: F.round(F.col(c) / tolerance) if tolerance else F.col(c) + 0.0
+    rounded = [scaled(c).alias(c) if c in numbers else F.col(c) for c in fields]
     df = df.withColumn("__range", range_of(cuts, F.col("__sort"))).withColumns({"__cut": F.pmod(rolling, F.lit(MEAN_CHUNK)) == 0, "__nr": F.row_number().over(inside)})
-    chunk = F.sum(F.when(F.col("__cut") | (F.col("__nr") % LONGEST_CHUNK == 0), 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    # where the content last cut; only from there on do rows count towards a forced cut, so that a lost row moves no cut beyond the next
+    last = F.coalesce(F.max(F.when(F.col("__cut"), F.col("__nr"))).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunk = F.col("__last") + F.floor((F.col("__nr") - F.col("__last") - 1) / LONGEST_CHUNK).cast("int") * LONGEST_CHUNK
     # nulls keep their place: xxhash64 alone skips them
     shown = [x for c in rounded for x in (c, c.isNull())]
-    return df.withColumns({"__chunk": F.coalesce(chunk, F.lit(0)), "__h1": F.xxhash64(*keys, *shown), "__h2": F.xxhash64(F.lit(7), *shown, *keys)}).drop("__cut", "__nr")
+    df = df.withColumn("__last", last)
+    return df.withColumns({"__chunk": chunk, "__h1": F.xxhash64(*keys, *shown), "__h2": F.xxhash64(F.lit(7), *shown, *keys)}).drop("__cut", "__nr", "__last")
 
 
 def _fingerprints(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,7 +76,7 @@ def _fingerprints(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def diff_rows(reference: DataFrame, computed: DataFrame, keys: Sequence[str], fields: Sequence[str] | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """(keys, __in_reference, __in_computed, __a, __b) of all rows that may differ, values as structs.
+    """A tolerance of 0 tells any two unequal numbers apart. (keys, __in_reference, __in_computed, __a, __b) of all rows that may differ, values as structs.
 
     One row per key on each side is expected (``latest_rows``); null keys equal each other. ``fields`` are by
     default the columns both sides have. Integers compare with integers of any width, numbers with numbers.

@@ -52,6 +52,21 @@ def test_diff_equals_brute_force(spark, monkeypatch):
     assert {r["diff"]: r["n_differ"] for r in D.diff_report(D.diff_tables(rows(spark, a), empty, ["k"])).collect()} == {"rows_only_reference": 400}
 
 
+def test_a_lost_row_moves_no_cut_but_the_next(spark):
+    a = spark.range(20_000).select((F.col("id") * 3).alias("k"), (F.col("id") * 0.5).alias("x"), F.lit("t").alias("t"), F.lit(None).cast("map<string,int>").alias("m"))
+    for lost in (30, 30_000, 59_997):
+        seen = D.diff_rows(a, a.where(F.col("k") != lost), ["k"]).collect()
+        assert [r["k"] for r in seen if not r["__in_computed"]] == [lost] and len(seen) <= 150
+    # without cuts by content, forced cuts alone keep chunks short
+    longest = D._chunked(a.withColumn("__sort", F.col("k")), ["k"], ["x"], {"x"}, [], 0.0).groupBy("__range", "__chunk").count()
+    assert longest.agg(F.max("count")).first()[0] <= D.LONGEST_CHUNK
+
+
+def test_no_tolerance_tells_any_numbers_apart(spark):
+    a, b = rows(spark, [(1, 1.0, "t", None), (2, 0.0, "t", None), (3, 5.0, "t", None)]), rows(spark, [(1, 1.0 + 1e-12, "t", None), (2, -0.0, "t", None), (3, 5.0, "t", None)])
+    assert [tuple(r)[:2] for r in D.diff_tables(a, b, ["k"], tolerance=0).collect()] == [(1, "x")]
+
+
 def test_diff_with_text_keys_null_keys_and_clashing_names(spark):
     a = spark.createDataFrame([("a", 1, 1.0), (None, 2, 2.0), ("c", 3, None)], "a string, b int, n double")
     b = spark.createDataFrame([("a", 1, 1.0), (None, 2, 2.5), ("c", 3, 0.0)], "a string, b int, n double")
