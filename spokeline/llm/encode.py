@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,21 +152,39 @@ def encode_corpus(docs: DataFrame, doc: str = "doc_id", text: str = "text", path
     return blocks.mapInArrow(assemble, f"`{doc}` {kind}, ids array<int>")
 
 
+@lru_cache(maxsize=4)
+def _token_bytes(path: str) -> pa.Array:
+    """The token-byte table of a rank file: the bytes of token k at place k, null where no token has that number."""
+    with open(path, "rb") as f:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return pa.array([ranks.get(k) for k in range(max(ranks) + 1)], pa.large_binary())
+
+
 def decode_corpus(encoded: DataFrame, doc: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """(doc, text): the bytes of the tokens, joined from the token table (fixed size: the vocabulary), in order.
+    """(doc, text) of every row: the bytes of its tokens, joined from the token-byte table, in order.
 
-    Ids that are not in the table are left out; bytes that are no UTF-8 become the replacement character.
+    The table has the vocabulary's size and tokens are its row numbers, so that the join is a lookup in every
+    batch: no shuffle, one row out for each row in, whatever its id (null and repeated ones too). Null and
+    empty lists give an empty text. A null or unknown token is an error; bytes that are no UTF-8 become the replacement character.
     """
     path = path or tokenizer_path()
-    spark = encoded.sparkSession
-    with open(path, "rb") as f:
-        table = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, f)]
-    tokens = F.broadcast(spark.createDataFrame(table, "token int, bytes binary"))
-    placed = encoded.select(doc, F.posexplode(ids).alias("at", "token")).join(tokens, "token")
-
-    @F.pandas_udf("string")
-    def text(parts: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(p["bytes"] for p in sorted(found, key=lambda p: p["at"])).decode("utf-8", "replace") for found in parts], dtype="object")
+    kind = encoded.schema[doc].dataType.simpleString()
 
-    whole = placed.groupBy(doc).agg(F.collect_list(F.struct("at", "bytes")).alias("p")).select(F.col(doc).alias("__d"), text("p").alias("text"))
-    return encoded.select(doc).join(whole, encoded[doc].eqNullSafe(F.col("__d")), "left").select(doc, F.coalesce("text", F.lit("")).alias("text"))
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _token_bytes(path)
+        for batch in batches:
+            lists = batch[ids]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            if flat.null_count or (len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(table))):
+                raise ValueError("a token is null or not in the table")
+            found = table.take(flat)
+            if found.null_count:
+                raise ValueError("a token is not in the table")
+            ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1] if len(found) else np.zeros(1, dtype=np.int64)
+            data = found.buffers()[2].to_pybytes() if len(found) else b""
+            at = ends[np.concatenate([[0], np.cumsum(sizes)])]
+            texts = pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([batch[doc], texts], names=[doc, "text"])
+
+    return encoded.select(doc, ids).mapInArrow(decode, f"`{doc}` {kind}, text string")

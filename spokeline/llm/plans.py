@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeline.llm.components import group_records
-from spokeline.llm.encode import encode_corpus
+from spokeline.llm.encode import decode_corpus, encode_corpus
 from spokeline.llm.pack import pack_texts
 from spokeline.llm.quantile_sketch import percentiles
 from spokeline.llm.reading import reading_levels
@@ -42,6 +42,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again: its text."""
+    return decode_corpus(p8_ids(spark, d))
+
+
 #: Tokens in a container.
 CAPACITY = 2048
 
@@ -71,4 +76,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p8_text": p8_text, "p9_pack": p9_pack, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+ORACLES = {
+    "p8_text": "select doc_id, coalesce(text, '') as text from documents",
+}

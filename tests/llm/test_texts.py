@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -33,8 +36,12 @@ def test_encoding_equals_the_tokenizer_and_decodes_back(spark, monkeypatch):
         assert len(found) == len(TEXTS) + 2
         assert all(ids == (want[k] if k is not None else reference_ids(["null id"])[0]) for k, ids in found)
         assert sum(k == 0 for k, _ in found) == 2
-    back = {r["doc_id"]: r["text"] for r in E.decode_corpus(got).where("doc_id > 0").collect()}
-    assert back == {k: t or "" for k, t in enumerate(TEXTS) if k > 0}
+    back = Counter(tuple(r) for r in E.decode_corpus(got).collect())
+    assert back == Counter([(k, t or "") for k, t in enumerate(TEXTS)] + [(0, TEXTS[0]), (None, "null id")])
+    lists = spark.createDataFrame([(1, None), (1, []), (None, want[0])], "doc_id long, ids array<int>")
+    assert Counter(tuple(r) for r in E.decode_corpus(lists).collect()) == Counter([(1, ""), (1, ""), (None, TEXTS[0])])
+    with pytest.raises(Exception, match="not in the table"):
+        E.decode_corpus(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
     assert E.encode_corpus(docs(spark).where("false")).count() == 0
 
 
