@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeline.operators.fill_missing import filled, group_labels, propagate
+from spokeline.operators.fill_missing import filled, propagate
 from spokeline.operators.near import containing_regions, near_points, regions_of, with_place
 from spokeline.operators.split_values import split_values
 from spokeline.operators.table_diff import diff_report, diff_tables
@@ -98,13 +98,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
         return rows.groupBy("code").agg(F.min("speed").alias("speed"))
 
     cities, states = speeds("city_fips_speed", "fips_code_city", 7), speeds("state_fips_speed", "fips_code_state", 2)
+    both = cities.withColumn("is_city", F.lit(True)).unionAll(states.withColumn("is_city", F.lit(False)))
     state = F.substring("code", 1, 2)
-    recorded = states.select(F.col("code").alias("g"), F.col("speed").alias("label"))
-    of_cities = filled(propagate(cities, "speed", [state], priors=recorded)).select(F.lit("city_fips_speed").alias("source_table"), F.col("code").alias("row_key"), F.lit("speed").alias("field"), F.col("label").cast("bigint").alias("filled"))
-    # a state's similar records are its cities
-    best = group_labels(cities, state, F.col("speed")).withColumnRenamed("label", "filled")
-    of_states = states.where("speed is null").join(best, F.col("code") == F.col("g")).select(F.lit("state_fips_speed").alias("source_table"), F.col("code").alias("row_key"), F.lit("speed").alias("field"), F.col("filled").cast("bigint").alias("filled"))
-    return out[0].unionAll(out[1]).unionAll(of_cities).unionAll(of_states)
+    # cities speak to cities and states; a state speaks to its cities where none of them does
+    tiers = [(F.when(F.col("is_city"), state), state), (F.when(~F.col("is_city"), state), F.when(F.col("is_city"), state))]
+    name = F.when(F.col("is_city"), "city_fips_speed").otherwise("state_fips_speed")
+    of_codes = filled(propagate(both, "speed", tiers)).select(name.alias("source_table"), F.col("code").alias("row_key"), F.lit("speed").alias("field"), F.col("label").cast("bigint").alias("filled"))
+    return out[0].unionAll(out[1]).unionAll(of_codes)
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}

@@ -1,6 +1,7 @@
 import math
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from spokeline.operators import fill_missing as L
@@ -88,7 +89,45 @@ def test_fill(spark):
     assert L.propagate(df.where("false"), "v", [F.col("way")]).count() == 0
 
 
-def test_fill_spreads_and_averages(spark):
-    chain = spark.createDataFrame([(1, "a", None, 4.0), (2, "a", "b", None), (3, "c", "b", None), (4, "c", None, None), (5, "z", None, None)], "k int, x string, y string, v double")
-    got = {r["k"]: r["label"] for r in L.propagate(chain, "v", [F.col("x"), F.col("y")], kind="number", spread=True).collect()}
-    assert got == {1: 4.0, 2: 4.0, 3: 4.0, 4: 4.0, 5: None}
+def test_fill_by_who_speaks_and_who_listens(spark):
+    df = spark.createDataFrame([("c", 1, None), ("c", 1, 30), ("s", 1, None), ("c", 2, None), ("s", 2, 55), ("s", 3, None)], "kind string, state int, v int")
+    city = F.col("kind") == "c"
+    tiers = [(F.when(city, F.col("state")), F.col("state")), (F.when(~city, F.col("state")), F.when(city, F.col("state")))]
+    got = sorted(map(str, L.filled(L.propagate(df, "v", tiers)).select("kind", "state", "label", "filled_by").collect()))
+    assert got == ["Row(kind='c', state=1, label=30, filled_by=0)", "Row(kind='c', state=2, label=55, filled_by=1)", "Row(kind='s', state=1, label=30, filled_by=0)"]
+
+
+def chain(spark, values, kind):
+    """Record k shares a group with record k + 1: groups of even k in x, of odd ones in y."""
+    rows = [(k, f"g{k - k % 2}", f"h{k + k % 2}" if 0 < k < len(values) - 1 else None, v) for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"k int, x string, y string, v {kind}")
+
+
+def spread(df, kind, **more):
+    return {r["k"]: (r["label"], r["filled_by"]) for r in L.propagate(df, "v", [F.col("x"), F.col("y")], kind=kind, spread=True, **more).collect()}
+
+
+def test_numbers_spread_until_they_settle(spark, monkeypatch):
+    for in_one in (L.IN_ONE_TASK, 0):
+        monkeypatch.setattr(L, "IN_ONE_TASK", in_one)
+        got = spread(chain(spark, [0.0, None, None, 10.0], "double"), "number", tolerance=1e-6 if in_one else 0.01)
+        assert [round(got[k][0], 3 if in_one else 1) for k in range(4)] == ([0, 3.333, 6.667, 10] if in_one else [0, 3.3, 6.7, 10]) and [got[k][1] for k in range(4)] == [None, 0, 0, None]
+    with pytest.raises(RuntimeError):
+        spread(chain(spark, [0.0, None, None, 10.0], "double"), "number", rounds=3)
+    monkeypatch.undo()
+    # one observed value reaches the whole of a long chain; what no value reaches stays empty
+    got = spread(chain(spark, [7.0] + [None] * 39, "double").unionAll(spark.createDataFrame([(99, "lost", None, None), (98, None, None, None)], "k int, x string, y string, v double")), "number")
+    assert all(abs(got[k][0] - 7) < 1e-6 for k in range(40)) and got[99] == (None, None) and got[98] == (None, None)
+    assert L.propagate(chain(spark, [1.0, None], "double").where("false"), "v", [F.col("x"), F.col("y")], kind="number", spread=True).count() == 0
+
+
+def test_distributions_spread_until_they_settle(spark, monkeypatch):
+    values = ["a", None, None, None, None, "b"]
+    crowd = [(100 + k, "g4", None, None) for k in range(3)]
+    for in_one in (L.IN_ONE_TASK, 0):
+        monkeypatch.setattr(L, "IN_ONE_TASK", in_one)
+        df = chain(spark, values, "string").unionAll(spark.createDataFrame(crowd, "k int, x string, y string, v string"))
+        got = spread(df, "category", tolerance=0.02)
+        assert [got[k][0] for k in range(6)] == ["a", "a", "a", "b", "b", "b"] and got[102] == ("b", 0) and got[0] == ("a", None)
+    even = spark.createDataFrame([(0, "g", None, "b"), (1, "g", "h", None), (2, None, "h", "a")], "k int, x string, y string, v string")
+    assert spread(even, "category")[1][0] == "a"
