@@ -7,16 +7,20 @@ items' probabilities and, for every candidate, of the chance that its delimiter
 
 The chances come from expectation-maximisation over all distinct texts of the field, weighted by how often
 they occur: the E-step runs forward-backward over each lattice, the M-step sums expected item counts. An
-item's evidence always leaves out the text at hand (else each text would vouch for itself) and backs
+item's evidence always leaves out the record at hand (else each would vouch for itself) and backs
 off to the item's shape (digits as 9, letters as a), so that values seen once are still divided. Viterbi
 then picks the division. Spans, models and texts live in tables joined by item; nothing grows on the
 driver but one number for each delimiter of each field.
 
 A text is settled once no span with candidates inside has a chance above ``PRUNE`` left: its pieces are its
-items, it goes on speaking as evidence, and later rounds only work on the others.
+items, it goes on speaking as evidence, and later rounds only work on the others. An item's evidence leaves out
+one record that holds the text at hand; the other records that hold the same text speak.
 
-A span covers at most ``MAX_INNER`` candidates: longer items don't exist in the lattice, so that a text's
-spans grow with its length, not its square. A span that keeps candidates inside is believed in only beyond
+All spans over at most ``MAX_INNER`` candidates are in the lattice, so that a text's spans grow with its length, not
+its square. Of the longer ones only those can be items that occur as a whole elsewhere, and the text itself: the
+first pieces of every long whole text are looked up among the spans of all texts, which finds them by one join.
+
+The rounds end when the expected counts of the texts at work no longer move. A span that keeps candidates inside is believed in only beyond
 ``DISCOUNT`` occurrences in other texts (absolute discounting): that two lists share a stretch by chance is
 no evidence for a value.
 """
@@ -27,19 +31,23 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spokeline.session import Scratch
 
 MAX_INNER = 3
 DISCOUNT = 3.0
-ROUNDS = 3
 PRUNE = 1e-4
+#: The rounds end when less than this share of the items at work changes.
+SETTLED = 1e-3
+#: A span less likely than its pieces by more than this factor (as a log) needs no forward-backward.
+HOPELESS = -25.0
 HINT = 1e-8
 #: Delimiters, quotes and the units that contain a delimiter.
 DELIMITERS = ";；,|/\n\r\t·"
@@ -132,21 +140,33 @@ def _chances(keys: list, shapes: list, hard: list, inner: list, own: list, kc: l
         (packed if within else alone)[key] += weight
         alike[shape_] += weight
     out = []
+    rarest = math.log(1e-3 / total)
     for key, shape_, h, within, c, p, s in zip(keys, shapes, hard, inner, kc, kp, sc):
         if key == "":
             out.append(0.0)
             continue
         # an unseen shape with candidates inside is worth no more than as many unseen ones without
-        unseen = (1e-3 / total) ** (within + 1) * math.exp(-len(shape_))
-        base = (max(0.0, s - alike[shape_]) / total + unseen) * math.exp(max(h, -600.0))
-        seen = (max(0.0, c - alone[key]) + max(0.0, p - packed[key] - DISCOUNT)) / total
-        out.append(math.log(0.9 * seen + 0.1 * base + 1e-300))
+        rare, known = (within + 1) * rarest - len(shape_), s - alike[shape_]
+        seen = 0.9 * (max(0.0, c - alone[key]) + max(0.0, p - packed[key] - DISCOUNT)) / total
+        whole = seen + 0.1 * (math.exp(rare) + max(0.0, known) / total) * math.exp(h)
+        if whole > 1e-250:
+            out.append(math.log(whole))
+            continue
+        best = _plus(rare, math.log(known / total)) if known > 0 else rare
+        out.append(best + math.log(0.1) + h)
     return out
 
 
+def _plus(a: float, b: float) -> float:
+    """The log of the sum of two chances given as logs."""
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 @lru_cache(maxsize=1000)
 def _lattice(n: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(n) for j in range(i, min(n, i + MAX_INNER + 1))]
+    """All short spans of n pieces, and the whole."""
+    short = [(i, j) for i in range(n) for j in range(i, min(n, i + MAX_INNER + 1))]
+    return [*short, (0, n - 1)] if n > MAX_INNER + 1 else short
 
 
 def _sum_logs(values: list[float]) -> float:
@@ -156,9 +176,16 @@ def _sum_logs(values: list[float]) -> float:
 
 def _weights(marks: str, score: dict, chance: dict) -> dict:
     """Log weight of every span: its item, the candidates it keeps and the one that ends it."""
-    keeps = [math.log(1 - chance.get(d, 0.5)) for d in marks]
+    keeps = [0.0, *accumulate(math.log1p(-chance.get(d, 0.5)) for d in marks)]
     splits = [math.log(chance.get(d, 0.5)) for d in marks]
-    return {(i, j): c + sum(keeps[i:j]) + (splits[j] if j < len(marks) else 0.0) for (i, j), c in score.items()}
+    return {(i, j): c + keeps[j] - keeps[i] + (splits[j] if j < len(marks) else 0.0) for (i, j), c in score.items()}
+
+
+def _is_plain(marks: str, score: dict, chance: dict) -> bool:
+    """Every span that keeps a candidate is out of reach of the pieces it is made of, whatever stands around it."""
+    w, n = _weights(marks, score, chance), len(marks) + 1
+    upto = [0.0, *accumulate(w[k, k] for k in range(n))]
+    return all(x - (upto[j + 1] - upto[i]) < HOPELESS for (i, j), x in w.items() if i < j)
 
 
 def posteriors(marks: str, score: dict, chance: dict) -> dict:
@@ -201,14 +228,14 @@ def _mark(delimiter: str) -> str:
     return delimiter.strip()[:1] or delimiter[:1]
 
 
-_SPAN = "field string, id string, n bigint, marks string, i int, j int, key string, shape string, hard double, post double, open boolean"
+_SPAN = "field string, id bigint, n bigint, marks string, i int, j int, key string, shape string, hard double, post double, moved double"
 
 
 def _batch(columns: dict[str, list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in schema], names=[c for c, _ in schema])
 
 
-_SPAN_ARROW = [("field", pa.string()), ("id", pa.string()), ("n", pa.int64()), ("marks", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.string()), ("shape", pa.string()), ("hard", pa.float64()), ("post", pa.float64()), ("open", pa.bool_())]
+_SPAN_ARROW = [("field", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("marks", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.string()), ("shape", pa.string()), ("hard", pa.float64()), ("post", pa.float64()), ("moved", pa.float64())]
 
 
 @lru_cache(maxsize=1000)
@@ -222,69 +249,103 @@ def _all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every span of every text."""
     for batch in batches:
         out: dict[str, list] = {c: [] for c, _ in _SPAN_ARROW}
-        for field, digest, text, n in zip(*[batch[c].to_pylist() for c in ("field", "id", "value", "n")]):
+        for field, number, text, n in zip(*[batch[c].to_pylist() for c in ("field", "id", "value", "n")]):
             parts, delims = pieces(text)
             lattice = _lattice(len(parts))
             found = [_features(_span_text(parts, delims, i, j)) for i, j in lattice]
-            _extend(out, (field, digest, n, "".join(map(_mark, delims))), [x[0] for x in lattice], [x[1] for x in lattice], *zip(*found), _first_guess(len(parts)), True)
+            _extend(out, (field, number, n, "".join(map(_mark, delims))), [x[0] for x in lattice], [x[1] for x in lattice], *zip(*found), _first_guess(len(parts)))
             if len(out["i"]) > 50_000:
                 yield _batch(out, _SPAN_ARROW)
                 out = {c: [] for c, _ in _SPAN_ARROW}
         yield _batch(out, _SPAN_ARROW)
 
 
-def _extend(out: dict[str, list], text: tuple, i, j, key, shapes, hard, post, unsettled: bool) -> None:
-    """Add one text's spans to the columns of ``_SPAN``."""
+def _extend(out: dict[str, list], text: tuple, i, j, key, shapes, hard, post, moved: float = 0.0) -> None:
+    """Add one text's spans to the columns of ``_SPAN``; the first one carries how far the text's chances moved."""
     for c, v in zip(("field", "id", "n", "marks"), text):
         out[c] += [v] * len(i)
     for c, v in zip(("i", "j", "key", "shape", "hard", "post"), (i, j, key, shapes, hard, post)):
         out[c] += v
-    out["open"] += [unsettled] * len(i)
+    out["moved"] += [moved] + [0.0] * (len(i) - 1)
 
 
-def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(field, value, items) of the distinct texts ``values`` (field, value, n) that have candidates.
+def _long_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans ``at`` of texts, which occur as a whole elsewhere."""
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c, _ in _SPAN_ARROW}
+        for field, number, text, n, at in zip(*[batch[c].to_pylist() for c in ("field", "id", "value", "n", "at")]):
+            parts, delims = pieces(text)
+            found = [_features(_span_text(parts, delims, x["i"], x["j"])) for x in at]
+            _extend(out, (field, number, n, "".join(map(_mark, delims))), [x["i"] for x in at], [x["j"] for x in at], *zip(*found), [HINT * 2.0 ** (x["i"] - x["j"]) for x in at])
+        yield _batch(out, _SPAN_ARROW)
 
-    Null texts must be left out; texts without candidates are one item each and only give evidence.
+
+def _beginning(text: str) -> tuple[str | None, int]:
+    """The key of the first ``MAX_INNER`` + 1 pieces of a text with more, and how many there are; (None, 0) otherwise.
+
+    What quotes keep together counts as pieces here: unquoted elsewhere, it must be found.
+    """
+    if sum(map(text.count, DELIMITERS)) <= MAX_INNER:
+        return None, 0
+    parts, delims = pieces(clean_item(text))
+    return (item_key(_span_text(parts, delims, 0, MAX_INNER)), len(parts)) if len(parts) > MAX_INNER + 1 else (None, 0)
+
+
+def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(field, value, items) of the distinct texts ``values`` (field, value, n).
+
+    Rounds go on until the chances settle, or for ``rounds`` where that is given. Null texts must be left out; texts without candidates are one item each and only give evidence.
     """
     scratch = Scratch(values.sparkSession)
 
-    @F.pandas_udf("many boolean, key string, shape string")
+    @F.pandas_udf("many boolean, item string, key string, shape string, beginning string, pieces int")
     def look(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             many = bool(_CANDIDATE.search(_masked(t)))
-            rows.append((True, "", "") if many else (False, *_features(t)[:2]))
-        return pd.DataFrame(rows, columns=["many", "key", "shape"])
+            rows.append((True, None, "", "", *_beginning(t)) if many else (False, clean_item(t), *_features(t)[:2], *_beginning(t)))
+        return pd.DataFrame(rows, columns=["many", "item", "key", "shape", "beginning", "pieces"])
 
-    # spans carry the text's digest, not the text: a long text has many of them
+    # spans carry the text's number, given where the texts are written, not the text: a long text has many of them
     looked = values.where(F.col("value").isNotNull()).withColumn("l", look("value"))
-    looked = scratch.keep(looked.select("field", "value", F.md5(F.encode("value", "UTF-8")).alias("id"), F.col("n").cast("bigint").alias("n"), "l.*"))
+    looked = scratch.keep(looked.select("field", "value", F.monotonically_increasing_id().alias("id"), F.col("n").cast("bigint").alias("n"), "l.*"))
     texts = looked.where("many").select("field", "id", "value", "n")
     now = scratch.keep(texts.select("field", "id", "value", "n").mapInArrow(_all_spans, _SPAN))
-
-    def summed(rows: DataFrame) -> DataFrame:
-        """Expected counts of items: alone (c), with candidates inside (p)."""
-        weight, inner = F.col("n") * F.col("post"), F.col("i") < F.col("j")
-        rows = rows.where("key <> ''").select("field", "key", "shape", F.when(inner, 0.0).otherwise(weight).alias("c"), F.when(inner, weight).otherwise(0.0).alias("p"))
-        return rows.groupBy("field", "key", "shape").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
-
-    single = looked.where("not many and key <> ''").groupBy("field", "key", "shape").agg(F.sum(F.col("n").cast("double")).alias("c"), F.lit(0.0).alias("p"))
-    settled = [scratch.keep(single)]
-    marks = now.where("i = j and i < length(marks)").select("field", F.substr("marks", F.col("i") + 1, F.lit(1)).alias("mark"), "n")
-    all_marks = {(r["field"], r["mark"]): r["n"] for r in marks.groupBy("field", "mark").agg(F.sum("n").alias("n")).collect()}
+    lengths = scratch.keep(looked.where("beginning is not null").select("field", F.col("beginning").alias("key"), "pieces").distinct())
+    if lengths.take(1):
+        same = now.where(F.col("j") - F.col("i") == MAX_INNER).select("field", "id", "i", "key", F.length("marks").alias("last")).join(lengths, ["field", "key"])
+        at = same.select("id", "i", (F.col("i") + F.col("pieces") - 1).alias("j"), "last").where("j <= last and not (i = 0 and j = last)")
+        at = at.groupBy("id").agg(F.collect_set(F.struct("i", "j")).alias("at"))
+        longer = scratch.keep(texts.join(at, "id").select("field", "id", "value", "n", "at").mapInArrow(_long_spans, _SPAN))
+        now = now.unionAll(longer)
+
+    # how often every item stands alone: in texts without candidates at first, then in all texts by their pieces
+    zero, weight, inner = F.lit(0.0), F.col("n") * F.col("post"), F.col("i") < F.col("j")
+    plain = scratch.keep(looked.where("not many and key <> ''").groupBy("field", "key", "shape").agg(F.sum(F.col("n").cast("double")).alias("c")))
+    all_pieces = now.where("i = j").select("field", "n", F.substr("marks", F.col("i") + 1, F.lit(1)).alias("mark")).groupBy("field", "mark").agg(F.sum("n").alias("n")).collect()
+    all_marks = {(r["field"], r["mark"]): r["n"] for r in all_pieces if r["mark"]}
+    totals: dict[str, float] = {r["field"]: r["c"] + 1.0 for r in plain.groupBy("field").agg(F.sum("c").alias("c")).collect()}
+    for r in all_pieces:
+        totals[r["field"]] = totals.get(r["field"], 1.0) + r["n"]
     kept_marks: dict[tuple[str, str], float] = {}
-    sizes = settled[0].select("field", "c").unionAll(now.where("i = j").select("field", F.col("n").cast("double").alias("c")))
-    totals = {r["field"]: r["c"] + 1.0 for r in sizes.groupBy("field").agg(F.sum("c").alias("c")).collect()}
 
-    def grouped() -> DataFrame:
-        """Every text at work with its spans and their evidence."""
-        items = reduce(DataFrame.unionAll, [*settled, summed(now)]).groupBy("field", "key", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp"))
-        shapes = items.groupBy("field", "shape").agg((F.sum("kc") + F.greatest(F.sum("kp") - DISCOUNT, F.lit(0.0))).alias("sc"))
+    def grouped(alone: DataFrame, of_shapes: DataFrame | None) -> DataFrame:
+        """Every text at work with its spans and their evidence: that of ``alone`` and of the expected counts of ``now``.
+
+        ``of_shapes``: ``alone`` summed by shape, given once the pieces of the texts at work are counted in it.
+        """
+        counted = of_shapes is not None
+        mine = now.where("key <> ''").select("field", "key", "shape", F.when(inner, zero).otherwise(weight - F.col("n") if counted else weight).alias("c"), F.when(inner, weight).otherwise(zero).alias("p"))
+        mine = mine.groupBy("field", "key", "shape").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+        known = alone.join(mine.select("field", "key"), ["field", "key"], "left_semi") if counted else alone
+        items = known.select("field", "key", "shape", "c", zero.alias("p")).unionAll(mine).groupBy("field", "key", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp"))
+        if counted:
+            shapes = mine.groupBy("field", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp")).join(of_shapes, ["field", "shape"], "left").select("field", "shape", (F.coalesce("s", zero) + F.col("kc") + F.greatest(F.col("kp") - DISCOUNT, zero)).alias("sc"))
+        else:
+            shapes = items.groupBy("field", "shape").agg((F.sum("kc") + F.greatest(F.sum("kp") - DISCOUNT, zero)).alias("sc"))
         model = items.join(shapes, ["field", "shape"]).select("field", "key", "kc", "kp", "sc")
-        row = F.struct("i", "j", "key", "shape", "hard", "post", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("kc", "kp", "sc")])
-        joined = now.join(model, ["field", "key"], "left")
-        whole = joined.groupBy("field", "id").agg(F.first("n").alias("n"), F.first("marks").alias("marks"), F.collect_list(row).alias("s"))
+        row = F.struct("i", "j", "key", "shape", "hard", "post", *[F.coalesce(c, zero).alias(c) for c in ("kc", "kp", "sc")])
+        whole = now.join(model, ["field", "key"], "left").groupBy("id").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.collect_list(row).alias("s"))
         return whole.select("field", "id", "n", "marks", *[F.col(f"s.{c}").alias(c) for c in ("i", "j", "key", "shape", "hard", "post", "kc", "kp", "sc")])
 
     def learnt() -> dict[str, dict[str, float]]:
@@ -296,38 +357,52 @@ def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def lattices(batch: pa.RecordBatch) -> Iterator[tuple]:
         columns = [batch[c].to_pylist() for c in ("field", "id", "n", "marks", "i", "j", "key", "shape", "hard", "post", "kc", "kp", "sc")]
-        for field, digest, n, marks, i, j, key, shapes, hard, post, kc, kp, sc in zip(*columns):
-            inner, own = [b - a for a, b in zip(i, j)], [n * p for p in post]
-            chance = _chances(key, shapes, hard, inner, own, kc, kp, sc, totals[field])
-            yield field, digest, n, marks, dict(zip(zip(i, j), chance)), dict(zip(zip(i, j), zip(key, shapes, hard)))
+        for field, number, n, marks, i, j, key, shapes, hard, post, kc, kp, sc in zip(*columns):
+            # one record's own counts are left out, the others that hold the same text speak
+            chance = _chances(key, shapes, hard, [b - a for a, b in zip(i, j)], post, kc, kp, sc, totals[field])
+            yield field, number, n, marks, dict(zip(zip(i, j), chance)), dict(zip(zip(i, j), zip(key, shapes, hard, post)))
 
-    for _ in range(rounds):
+    alone, of_shapes, pieces_alone, done = plain, None, now.where("i = j and key <> ''"), 0
+    while rounds is None or done < rounds:
         chances = learnt()
 
         def expect(batches: Iterator[pa.RecordBatch], chances: dict = chances) -> Iterator[pa.RecordBatch]:
+            """The spans, with their new chances, of the texts that aren't settled."""
             for batch in batches:
                 out: dict[str, list] = {c: [] for c, _ in _SPAN_ARROW}
-                for field, digest, n, marks, score, items in lattices(batch):
-                    post = posteriors(marks, score, chances.get(field, {}))
+                for field, number, n, marks, score, items in lattices(batch):
+                    chance = chances.get(field, {})
+                    if _is_plain(marks, score, chance):
+                        continue
+                    post = posteriors(marks, score, chance)
                     kept = [s for s, p in post.items() if s[0] == s[1] or p > PRUNE]
-                    _extend(out, (field, digest, n, marks), [s[0] for s in kept], [s[1] for s in kept], *zip(*[items[s] for s in kept]), [post[s] for s in kept], len(kept) > len(marks) + 1)
+                    if len(kept) > len(marks) + 1:
+                        moved = n * sum(abs(p - items[s][3]) for s, p in post.items())
+                        _extend(out, (field, number, n, marks), [s[0] for s in kept], [s[1] for s in kept], *zip(*[items[s][:3] for s in kept]), [post[s] for s in kept], moved)
                 yield _batch(out, _SPAN_ARROW)
 
-        step = scratch.keep(grouped().mapInArrow(expect, _SPAN))
-        settled.append(scratch.keep(summed(step.where("not open"))))
-        now = step.where("open")
+        seen = Observation()
+        step = grouped(alone, of_shapes).mapInArrow(expect, _SPAN)
+        now = scratch.keep(step.observe(seen, F.sum("moved").alias("moved"), F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))).alias("items")))
+        moved, at_work = seen.get["moved"] or 0.0, seen.get["items"] or 0
         kept = now.where("i < j").select("field", F.explode(F.split(F.expr("substr(marks, i + 1, j - i)"), "")).alias("mark"), (F.col("n") * F.col("post")).alias("c"))
         kept_marks = {(r["field"], r["mark"]): r["c"] for r in kept.groupBy("field", "mark").agg(F.sum("c").alias("c")).collect()}
-        if not kept_marks:
+        done += 1
+        if not at_work:
+            break
+        if of_shapes is None:
+            alone = scratch.keep(plain.unionAll(pieces_alone.select("field", "key", "shape", F.col("n").cast("double"))).groupBy("field", "key", "shape").agg(F.sum("c").alias("c")))
+            of_shapes = scratch.keep(alone.groupBy("field", "shape").agg(F.sum("c").alias("s")))
+        if moved <= SETTLED * at_work:
             break
 
     chances = learnt()
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(f, d, [i for i, _ in best_path(marks, score, chances.get(f, {}))]) for f, d, _, marks, score, _ in lattices(batch)]
-            columns = list(zip(*found)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32()))], names=["field", "id", "starts"])
+            found = [(d, [i for i, _ in best_path(marks, score, chances.get(f, {}))]) for f, d, _, marks, score, _ in lattices(batch)]
+            columns = list(zip(*found)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int32()))], names=["id", "starts"])
 
     @F.pandas_udf("array<string>")
     def items_of(value: pd.Series, starts: pd.Series) -> pd.Series:
@@ -339,8 +414,9 @@ def segment_values(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             out.append([x for x in found if x])
         return pd.Series(out, dtype="object")
 
-    starts = grouped().mapInArrow(divide, "field string, id string, starts array<int>")
-    return texts.join(starts, ["field", "id"], "left").select("field", "value", items_of("value", "starts").alias("items"))
+    starts = grouped(alone, of_shapes).mapInArrow(divide, "id bigint, starts array<int>")
+    divided = texts.join(starts, "id", "left").select("field", "value", items_of("value", "starts").alias("items"))
+    return divided.unionAll(looked.where("not many").select("field", "value", F.filter(F.array("item"), lambda x: x != "")))
 
 
 def split_values(records: DataFrame, value: str = "value", field: str = "field") -> DataFrame:
@@ -354,10 +430,5 @@ def split_values(records: DataFrame, value: str = "value", field: str = "field")
     found = scratch.keep(segment_values(counts))
     found = found.select(F.col("field").alias("__f"), F.col("value").alias("__v"), F.col("items").alias("__items"))
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else clean_item(t))
-
     joined = records.join(found, (F.col(field) == F.col("__f")) & (F.col(value) == F.col("__v")), "left")
-    one: Column = F.filter(F.array(cleaned(F.col(value))), lambda x: x != "")
-    return joined.withColumn("items", F.when(F.col(value).isNotNull(), F.coalesce("__items", one))).drop("__f", "__v", "__items")
+    return joined.withColumn("items", F.col("__items")).drop("__f", "__v", "__items")
