@@ -43,22 +43,26 @@ def count_pipes(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit("|"))) + 1).cast("int")
 
 
-_FEET_INCHES = r"^\s*(\d+(?:\.\d+)?)\s*'\s*(?:(\d+(?:\.\d+)?)\s*\"?)?\s*$"
-_FEET = r"^\s*(\d+(?:\.\d+)?)\s*(?:ft|feet|foot)\s*$"
-_METRES = r"^\s*(\d+(?:\.\d+)?)\s*(?:m|metres?|meters?)\s*$"
-_BARE = r"^\s*(\d+(?:\.\d+)?)\s*$"
+#: Feet and inches at the start of a text, and the first number anywhere in it.
+_FEET_INCHES = r"^(\d+)'(?:(\d+)\")?"
+_NUMBER = r"(\d+\.?\d*)"
+#: Fixed value: bare numbers from here on are no widths.
+BARE_BELOW = 20
 
 
 def parse_width_ft(c: Column) -> Column:
-    """Feet from 12'6", 10 ft, 3 m; a bare number below 20 counts as metres, others as nothing."""
-    text = F.lower(c)
-    number = lambda pattern, group=1: _first(text, pattern, group).try_cast("double")
-    bare = number(_BARE)
+    """Feet from a text that begins like 12'6", else from its first number: feet if it says ft, metres if it has an m anywhere.
+
+    A number with neither counts as metres below ``BARE_BELOW`` and as nothing from there on.
+    """
+    text = F.trim(c)
+    lower = F.lower(text)
+    number = _first(text, _NUMBER).try_cast("double")
+    inches = F.coalesce(_first(text, _FEET_INCHES, 2).try_cast("double"), F.lit(0.0))
     return (
-        F.when(text.rlike(_FEET_INCHES), number(_FEET_INCHES) + F.coalesce(number(_FEET_INCHES, 2), F.lit(0.0)) / 12)
-        .when(text.rlike(_FEET), number(_FEET))
-        .when(text.rlike(_METRES), number(_METRES) * FEET_PER_METRE)
-        .when(bare < 20, bare * FEET_PER_METRE)
+        F.when(text.rlike(_FEET_INCHES), _first(text, _FEET_INCHES).try_cast("double") + inches / 12)
+        .when(F.contains(lower, F.lit("ft")), number)
+        .when(F.contains(lower, F.lit("m")) | (number < BARE_BELOW), number * FEET_PER_METRE)
     )
 
 

@@ -237,32 +237,35 @@ def poi_outside_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 # --- analysis --------------------------------------------------------------------------------------------
 
-_TOY = {"rules": [{"id": "high_speed", "when": {"functional_class": ["residential", "path"], "speed_limit": {"gt": 25}}, "set": {"stress": 3}}, {"id": "low_speed", "when": {"speed_limit": {"le": 25}}, "set": {"stress": 1}}], "default": {"stress": 2}}
-
-
-@query("""select f.functional_class, s.speed_limit, case when coalesce(f.functional_class in ('path', 'residential') and s.speed_limit > 25, false) then 3 when coalesce(s.speed_limit <= 25, false) then 1 else 2 end as stress
-    from (values ('path'), ('residential'), ('(other)'), (null)) f(functional_class), (values (24.0::double), (25.0), (26.0), (null)) s(speed_limit)""")
+_RULES = {"name": "comfort", "rules": [
+    {"id": "busy", "when": {"functional_class": ["primary", "trunk"], "speed_limit": {"gt": {"$var": "bound"}}}, "set": {"comfort": "low"}},
+    {"id": "wide", "when": {"functional_class": ["primary", "trunk"], "ft_lanes": {"ge": 3}}, "set": {"comfort": "fair"}},
+    {"id": "calm", "when": {"speed_limit": {"le": 20}}, "set": {"comfort": "high"}},
+], "default": {"comfort": "unknown"}}
+_RULES_CASE = "case when functional_class in ('primary', 'trunk') and speed_limit > {b} then {low} when functional_class in ('primary', 'trunk') and ft_lanes >= 3 then {fair} when speed_limit <= 20 then {high} else {rest} end"
+_COMFORT = lambda bound: _RULES_CASE.format(b=bound, low="'low'", fair="'fair'", high="'high'", rest="'unknown'")
+
+
+@query(f"""with c as (select f.functional_class in ('primary', 'trunk') as main, s.speed_limit, l.ft_lanes >= 3 as wide, {_COMFORT(45)} as comfort
+      from (values ('primary'), ('trunk'), ('other'), (null)) f(functional_class), (select unnest(range(0, 100)) as speed_limit union all select null) s, (select unnest(range(0, 9)) as ft_lanes union all select null) l)
+    select comfort, count(*) as n from (select distinct coalesce(main, false) as main, coalesce(speed_limit > 45, false) as fast, coalesce(speed_limit <= 20, false) as slow, coalesce(wide, false) as wide, comfort from c) group by 1""")
 def contexts_enumerate(spark: SparkSession, d: str) -> DataFrame:
-    """Every context that a decision can tell apart, decided."""
-    return analysis.contexts(spark, read_program(_TOY)).select("functional_class", "speed_limit", "stress")
-
-
-_TOY_CASE = "case when functional_class in ('path', 'residential') and speed_limit > {b} then 3 when speed_limit <= {b} then 1 else 2 end"
+    """Every context that the rules can tell apart, decided: the SQL tries all values and counts the distinct outcomes of the tests."""
+    return analysis.contexts(spark, read_program(_RULES), variables={"bound": 45}).groupBy("comfort").agg(F.count("*").alias("n"))
 
 
-@query(f"select road_id, {_TOY_CASE.format(b=25)} as stress_before, {_TOY_CASE.format(b=35)} as stress_after, ({_TOY_CASE.format(b=25)}) <> ({_TOY_CASE.format(b=35)}) as changed from {SEG}")
+@query(f"select road_id, {_COMFORT(45)} as comfort_before, {_COMFORT(30)} as comfort_after, ({_COMFORT(45)}) <> ({_COMFORT(30)}) as changed from {SEG}")
 def simulate_diff(spark: SparkSession, d: str) -> DataFrame:
-    """What a changed rule would change."""
-    bound = {"rules": [{"when": {"functional_class": ["residential", "path"], "speed_limit": {"gt": {"$var": "bound"}}}, "set": {"stress": 3}}, {"when": {"speed_limit": {"le": {"$var": "bound"}}}, "set": {"stress": 1}}], "default": {"stress": 2}}
-    program = read_program(bound)
-    out = analysis.simulate(segments_of(spark, d, "functional_class", "speed_limit"), program, program, {"bound": 25}, {"bound": 35})
-    return out.select("road_id", "stress_before", "stress_after", "changed")
+    """What a changed variable would change."""
+    program = read_program(_RULES)
+    out = analysis.simulate(segments_of(spark, d, "functional_class", "speed_limit", "ft_lanes"), program, program, {"bound": 45}, {"bound": 30})
+    return out.select("road_id", "comfort_before", "comfort_after", "changed")
 
 
-@query(f"""select 'pass0' as pass, 'stress' as output, case when functional_class in ('path', 'residential') and speed_limit > 25 then 'high_speed' when speed_limit <= 25 then 'low_speed' else 'default' end as winner, count(*) as n from {SEG} group by 3""")
+@query(f"""select 'comfort' as pass, 'comfort' as output, {_RULES_CASE.format(b=45, low="'busy'", fair="'wide'", high="'calm'", rest="'default'")} as winner, count(*) as n from {SEG} group by 3""")
 def rule_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How many rows each rule decides."""
-    return analysis.coverage(segments_of(spark, d, "functional_class", "speed_limit"), read_program(_TOY))
+    return analysis.coverage(segments_of(spark, d, "functional_class", "speed_limit", "ft_lanes"), read_program(_RULES), {"bound": 45})
 
 
 @query()

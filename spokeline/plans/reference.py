@@ -165,12 +165,10 @@ def tf_speed_and_lanes(spark: SparkSession, d: str) -> DataFrame:
     return df.select("road_id", parse.parse_speed_mph(c).alias("mph"), parse.parse_speed_mph(c, "mph").alias("mph_bare"), parse.parse_int(c).alias("digits"), parse.parse_int_half(c).alias("half"), parse.count_pipes(c).alias("pipes"))
 
 
-def _g(pattern: str, group: int = 1) -> str:
-    return f"try_cast(nullif(regexp_extract(lower(width_ft), '{pattern.replace(chr(39), chr(39) * 2)}', {group}), '') as double)"
-
-
-_W = f"""case when regexp_matches(lower(width_ft), '{parse._FEET_INCHES.replace(chr(39), chr(39) * 2)}') then {_g(parse._FEET_INCHES)} + coalesce({_g(parse._FEET_INCHES, 2)}, 0) / 12
-    when regexp_matches(lower(width_ft), '{parse._FEET}') then {_g(parse._FEET)} when regexp_matches(lower(width_ft), '{parse._METRES}') then {_g(parse._METRES)} * 3.28084 when {_g(parse._BARE)} < 20 then {_g(parse._BARE)} * 3.28084 end"""
+_W_NUMBER = r"try_cast(nullif(regexp_extract(trim(width_ft), '(\d+\.?\d*)', 1), '') as double)"
+_W_FEET, _W_INCHES = (rf"""try_cast(nullif(regexp_extract(trim(width_ft), '^(\d+)''(?:(\d+)")?', {g}), '') as double)""" for g in (1, 2))
+_W = rf"""case when regexp_matches(trim(width_ft), '^\d+''') then {_W_FEET} + coalesce({_W_INCHES}, 0) / 12 when contains(lower(width_ft), 'ft') then {_W_NUMBER}
+    when contains(lower(width_ft), 'm') then {_W_NUMBER} * 3.28084 when {_W_NUMBER} < 20 then {_W_NUMBER} * 3.28084 end"""
 
 
 @query(f"select road_id, round(w, 6) as feet, trunc(w)::int as whole from (select road_id, {_W} as w from {SEG} where width_ft is not null)")

@@ -18,18 +18,25 @@ MOST_CONTEXTS = 200_000
 
 
 def cells(program: Program, name: str, variables: Mapping[str, Any] | None = None) -> list[Any]:
-    """One value from each range of a field that the program's tests can tell apart; None is one of them.
+    """One value for every set of tests of the program that a value of the field can pass; None may stand for one of them.
 
-    Numbers compared by order are cut at their bounds (each bound, and a value in every gap); other
-    values are those named in tests plus one that no test names.
+    Candidates are the bounds of number tests and a value in every gap, or the values named in tests and one that
+    no test names, and None. Those that pass the same tests, and look up the same entries, can't be told apart: the first
+    stands for all. A field whose value is itself handed on keeps every candidate.
     """
     named: set[Any] = set()
     bounds: set[float] = set()
+    passed: list[tuple[str, Any]] = []
+    lookups: list[dict] = []
+    handed_on = False
     for rule in (r for t in program.tables for r in t.rules):
         for test in rule.tests:
-            if test.field != name or test.op in UNARY:
+            if test.field != name:
                 continue
             value = variable(variables or {}, test.value.name) if isinstance(test.value, Var) else test.value
+            passed.append(("in" if test.op == "eq" and isinstance(value, (list, tuple, set)) else test.op, value))
+            if test.op in UNARY:
+                continue
             values = value if isinstance(value, (list, tuple, set)) else [value]
             if test.op in NUMERIC or any(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
                 bounds |= {float(v) for v in values if v is not None}
@@ -38,13 +45,23 @@ def cells(program: Program, name: str, variables: Mapping[str, Any] | None = Non
         for v in rule.sets.values():
             if isinstance(v, dict) and v.get("$lookup") == name:
                 named |= set(v.get("map", {}))
+                lookups.append(v.get("map", {}))
+            elif isinstance(v, dict) and name in value_fields(v):
+                handed_on = True
     if bounds:
         cuts = sorted(bounds)
         between = [cuts[0] - 1, *[(a + b) / 2 for a, b in zip(cuts, cuts[1:])], cuts[-1] + 1]
-        return sorted({*cuts, *between}) + [None]
-    if named and all(isinstance(v, bool) for v in named):
-        return [False, True, None]
-    return sorted(named, key=str) + (["(other)"] if named else ["(any)"]) + [None]
+        found = [*sorted({*cuts, *between}), None]
+    elif named and all(isinstance(v, bool) for v in named):
+        found = [False, True, None]
+    else:
+        found = [*sorted(named, key=str), "(other)" if named else "(any)", None]
+    if handed_on:
+        return found
+    told: dict[tuple, Any] = {}
+    for v in found:
+        told.setdefault((*(holds(op, v, value) for op, value in passed), *(m.get(v) for m in lookups)), v)
+    return list(told.values())
 
 
 def context_grid(program: Program, fields: Mapping[str, list] | None = None, variables: Mapping[str, Any] | None = None) -> tuple[list[str], list[tuple]]:
@@ -94,11 +111,11 @@ def simulate(df: DataFrame, before: Program, after: Program, variables: Mapping[
 def coverage(df: DataFrame, program: Program, variables: Mapping[str, Any] | None = None) -> DataFrame:
     """(pass, output, winner, n): how many rows each rule decides; 'default' and null (falls through) too.
 
-    One scan per pass: the winners of all outputs are stacked before they are counted.
+    Rules that a sweep made of one count for it: what follows the @ of their ids is cut. One scan per pass: the winners of all outputs are stacked before they are counted.
     """
     found = None
     for table in program.tables:
-        wins = [F.struct(F.lit(table.name).alias("pass"), F.lit(o).alias("output"), winner(df, table, o, variables).alias("winner")) for o in table.outputs()]
+        wins = [F.struct(F.lit(table.name).alias("pass"), F.lit(o).alias("output"), F.substring_index(winner(df, table, o, variables), "@", 1).alias("winner")) for o in table.outputs()]
         counts = df.select(F.explode(F.array(*wins)).alias("w")).groupBy("w.pass", "w.output", "w.winner").agg(F.count("*").alias("n"))
         found = counts if found is None else found.unionAll(counts)
         df = apply_table(df, table, variables)
@@ -108,7 +125,7 @@ def coverage(df: DataFrame, program: Program, variables: Mapping[str, Any] | Non
 def never_fired(covered: DataFrame, program: Program) -> list[tuple[str, str, str]]:
     """(pass, output, rule) of the rules that decided no row."""
     fired = {(r["pass"], r["output"], r["winner"]) for r in covered.collect()}
-    return [(t.name, o, r.id) for t in program.tables for r in t.rules for o in r.sets if (t.name, o, r.id) not in fired]
+    return [(t.name, o, r.id) for t in program.tables for r in t.rules for o in r.sets if (t.name, o, r.id.partition("@")[0]) not in fired]
 
 
 def trace(program: Program, row: Mapping[str, Any], variables: Mapping[str, Any] | None = None) -> list[dict]:

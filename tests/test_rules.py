@@ -10,7 +10,10 @@ from spokeline.rules import analysis, apply, read_program
 from spokeline.rules.compiler import MissingVariable
 from spokeline.rules.language import sweep, to_document
 
-TOY = {"rules": [{"id": "high_speed", "when": {"fc": ["residential", "path"], "speed": {"gt": 25}}, "set": {"stress": 3}}, {"id": "low_speed", "when": {"speed": {"le": 25}}, "set": {"stress": 1}}], "default": {"stress": 2}}
+COMFORT = {"rules": [
+    {"id": "busy", "when": {"road": ["main", "ring"], "mph": {"gt": 45}}, "set": {"comfort": 1}},
+    {"id": "calm", "when": {"road": ["main", "ring"], "mph": {"le": 20}}, "set": {"comfort": 9}},
+], "default": {"comfort": 5}}
 
 
 def random_program(rng):
@@ -71,27 +74,37 @@ def test_round_trip_and_variables(spark):
 
 
 def test_analysis(spark):
-    program = read_program(TOY)
-    df = spark.createDataFrame([("residential", 40), ("residential", 10), ("primary", 40), (None, None)], "fc string, speed int")
+    program = read_program(COMFORT)
+    df = spark.createDataFrame([("main", 50), ("ring", 10), ("lane", 50), (None, None)], "road string, mph int")
     covered = analysis.coverage(df, program)
-    assert {r["winner"]: r["n"] for r in covered.collect()} == {"high_speed": 1, "low_speed": 1, "default": 2}
-    assert analysis.never_fired(covered, program) == [] and analysis.problems(program, {"fc": {"domain": ["residential"]}, "speed": {}}) == ["pass0/high_speed: 'path' is no value of fc"]
+    assert {r["winner"]: r["n"] for r in covered.collect()} == {"busy": 1, "calm": 1, "default": 2}
+    assert analysis.never_fired(covered, program) == [] and analysis.problems(program, {"road": {"domain": ["main"]}, "mph": {}}) == ["pass0/busy: 'ring' is no value of road", "pass0/calm: 'ring' is no value of road"]
     assert analysis.unreachable(read_program({"rules": [{"id": "a", "when": {"x": {"gt": 1}}, "set": {"y": 1}}, {"id": "b", "when": {"x": {"gt": 2}}, "set": {"y": 2}}]})) == [("pass0", "y", "b", "a")]
-    open_program = read_program({"rules": TOY["rules"]})
-    gaps = {(r["fc"], r["speed"]) for r in analysis.uncovered(spark, open_program.tables[0]).collect()}
-    assert ("(other)", 26.0) in gaps and ("residential", 26.0) not in gaps and (None, None) in gaps
-    assert analysis.unproduced([program], ["fc"]) == [("program", "speed")]
-    assert [s["winner"] for s in analysis.trace(program, {"fc": "primary", "speed": 40})] == ["default"]
+    # values that no test tells apart are one: a road of the list or not, slow, fast or neither
+    assert analysis.cells(program, "road") == ["main", "(other)"] and analysis.cells(program, "mph") == [19.0, 32.5, 46.0]
+    assert analysis.contexts(spark, program).count() == 6
+    assert {r["comfort"]: r["count"] for r in analysis.contexts(spark, program).groupBy("comfort").count().collect()} == {1: 1, 9: 1, 5: 4}
+    gaps = {(r["road"], r["mph"]) for r in analysis.uncovered(spark, read_program({"rules": COMFORT["rules"]}).tables[0]).collect()}
+    assert ("(other)", 46.0) in gaps and ("main", 46.0) not in gaps and ("main", 32.5) in gaps
+    assert analysis.unproduced([program], ["road"]) == [("program", "mph")]
+    assert [s["winner"] for s in analysis.trace(program, {"road": "lane", "mph": 50})] == ["default"]
     assert analysis.unreachable(segment_stress_program()) == [] and segment_stress_program().largest_output() == 3
     assert intersection_stress_program().outputs() == ["ft_int_stress", "tf_int_stress"]
 
 
+def test_coverage_counts_a_sweep_as_its_rule(spark):
+    columns = ("functional_class", "bicycle", "speed_limit", "ft_lanes", "tf_lanes", "ft_bike_infra", "tf_bike_infra", "ft_bike_infra_width", "tf_bike_infra_width")
+    df = spark.createDataFrame([("trunk", None, 55, 2, 2, None, None, None, None)], ", ".join(f"{c} {'string' if c in ('functional_class', 'bicycle') or c.endswith('infra') else 'int'}" for c in columns))
+    covered = analysis.coverage(df, segment_stress_program())
+    assert sorted((r["output"], r["winner"]) for r in covered.collect()) == [("ft_seg_stress", "heavy"), ("tf_seg_stress", "heavy")]
+
+
 def evaluate(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
 def test_transforms(spark):
-    cases = [(parse.parse_speed_mph, {"30 mph": 30, "50": 30, "50 km/h": 30, "none": None, None: None, "45 kmph": 30, "62.9 mph": 62}), (parse.parse_width_int, {"12'6\"": 12, "3 m": 9, "10 ft": 10, "4": 13, "25": None, "x": None, None: None})]
+    cases = [(parse.parse_speed_mph, {"30 mph": 30, "50": 30, "50 km/h": 30, "none": None, None: None, "45 kmph": 30, "62.9 mph": 62}), (parse.parse_width_int, {"12'6\"": 12, "3 m": 9, "10 ft": 10, "4": 13, "25": None, "x": None, None: None, "10 ft wide": 10, "3.5m approx": 11, "ca. 4": 13, "2.5 m (min)": 8, "12'6\" min": 12, "m": None})]
     cases += [(parse.parse_int_half, {"3": 2, "4": 2, "no": None}), (parse.count_pipes, {"a|b|c": 3, "": 1, None: None}), (parse.parse_int, {"x12y3": 12, "9" * 30: None})]
     for f, wanted in cases:
         for text, want in wanted.items():

@@ -25,6 +25,15 @@ def test_quotes_brackets_units_and_decimals(spark):
     assert got[None] is None and got[""] == [] and got[" "] == [] and got['"a;b"'] == ["a;b"]
 
 
+def test_items_of_any_number_of_delimiters(spark):
+    long, quoted = "A, B, C, D, E", '"A, B, C, D, E"'
+    # one value of many records, though a shorter one begins like it
+    assert divided(spark, [long] * 200 + ["A, B, C, D"] * 50) == {long: [long], "A, B, C, D": ["A, B, C, D"]}
+    # a value that stands alone in quotes is found whole inside lists
+    got = divided(spark, [quoted] * 200 + [long, f"{long}; F", f"F; {long}; G", "F; G"] + ["F", "G"] * 20)
+    assert got[long] == [long] and got[f"{long}; F"] == [long, "F"] and got[f"F; {long}; G"] == ["F", long, "G"] and got["F; G"] == ["F", "G"]
+
+
 def test_very_long_text_and_empty_table(spark):
     long = ";".join(["30", "50"] * 3000)
     got = divided(spark, ["30", "50"] * 5 + ["30;50", long])
