@@ -25,17 +25,18 @@ def block_access(pairs: DataFrame, amounts: DataFrame, blocks: DataFrame, amount
 
 
 def destination_access(pairs: DataFrame, destinations: DataFrame, blocks: DataFrame, types: Mapping[str, tuple[float, float, float]]) -> DataFrame:
-    """One row per block with ``{type}_high``, ``{type}_low`` and ``{type}_score`` for every type, in one aggregate.
+    """One row per block with ``{type}_high``, ``{type}_low`` and ``{type}_score`` for every type.
 
-    destinations: id, dest_type, blockid20 ARRAY. A destination in several blocks counts once.
+    destinations: id, dest_type, blockid20 ARRAY. A destination in several blocks counts once: a first aggregate
+    brings every (block, type, destination) to one row, so that the second needs no distinct counts.
     """
     placed = destinations.select("id", "dest_type", F.explode("blockid20").alias("target_block"))
-    joined = pairs.join(placed, "target_block")
+    once = pairs.join(placed, "target_block").groupBy("source_block", "dest_type", "id").agg(F.max("low_stress").alias("low"))
     counts = []
     for t in types:
-        mine = F.when(F.col("dest_type") == t, F.col("id"))
-        counts += [F.count_distinct(mine).alias(f"{t}_high"), F.count_distinct(F.when(F.col("low_stress"), mine)).alias(f"{t}_low")]
-    found = joined.groupBy(F.col("source_block").alias("block")).agg(*counts)
+        mine = F.col("dest_type") == t
+        counts += [F.count_if(mine).alias(f"{t}_high"), F.count_if(mine & F.col("low")).alias(f"{t}_low")]
+    found = once.groupBy(F.col("source_block").alias("block")).agg(*counts)
     out = blocks.select("block").join(found, "block", "left").na.fill(0)
     return out.withColumns({f"{t}_score": destination_score(F.col(f"{t}_low"), F.col(f"{t}_high"), *steps) for t, steps in types.items()})
 
@@ -62,12 +63,28 @@ def mileage(segments: DataFrame, kinds: Mapping[str, Column]) -> DataFrame:
     return tagged.groupBy("feature_type").agg((F.sum("length_m") / METRES_PER_MILE).alias("total_mileage"))
 
 
-def stress_miles(segments: DataFrame, low: int = 1) -> DataFrame:
-    """(low_miles, high_miles): each direction of a segment that is open counts half its length twice."""
-    side = lambda c, test: F.coalesce(F.when(test(F.col(c)), 1).otherwise(0), F.lit(0))
-    lows = side("ft_seg_stress", lambda c: c <= low) + side("tf_seg_stress", lambda c: c <= low)
-    highs = side("ft_seg_stress", lambda c: c > low) + side("tf_seg_stress", lambda c: c > low)
-    return segments.agg((F.sum(F.col("length_m") * lows) / METRES_PER_MILE).alias("low_miles"), (F.sum(F.col("length_m") * highs) / METRES_PER_MILE).alias("high_miles"))
+#: Kinds of facilities that have miles of their own.
+FACILITIES = ("sharrow", "buffered_lane", "lane", "track", "path")
+
+
+def facility_miles(segments: DataFrame) -> DataFrame:
+    """(feature_type, total_mileage): miles of facilities by direction, and of paths that are no crosswalks (xwalk, where given)."""
+    has = lambda c: c in segments.columns
+    kinds = [F.when(F.col(c).isin(*FACILITIES), F.col(c)) for c in ("ft_bike_infra", "tf_bike_infra") if has(c)]
+    path = F.col("functional_class") == "path"
+    kinds.append(F.when(path & F.col("xwalk").isNull() if has("xwalk") else path, "path"))
+    tagged = segments.select("length_m", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("feature_type"))
+    return tagged.groupBy("feature_type").agg((F.sum(F.coalesce("length_m", F.lit(0.0))) / METRES_PER_MILE).alias("total_mileage"))
+
+
+def stress_miles(segments: DataFrame, low: int = 1, high: int = 3, length: str = "length_m") -> DataFrame:
+    """(low_miles, high_miles): a segment counts for each open direction at ``low`` or at ``high`` stress; one with a direction at
+    any other level for neither. ``length`` may name the length inside the boundary."""
+    ft, tf = F.coalesce("ft_seg_stress", F.lit(0)), F.coalesce("tf_seg_stress", F.lit(0))
+    usual = ft.isin(0, low, high) & tf.isin(0, low, high)
+    times = lambda level: F.when(usual, (ft == level).cast("int") + (tf == level).cast("int")).otherwise(0)
+    total = lambda level: F.coalesce(F.sum(F.col(length) * times(level)) / METRES_PER_MILE, F.lit(0.0))
+    return segments.agg(total(low).alias("low_miles"), total(high).alias("high_miles"))
 
 
 def jobs_per_block(pairs: DataFrame, block: str, jobs: str) -> DataFrame:

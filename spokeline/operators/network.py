@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeline.functions.scoring import link_cost, link_stress
+from spokeline.geo import EARTH_RADIUS_M
 from spokeline.session import Scratch
 
 
@@ -95,26 +96,79 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components still changed after {most_rounds} rounds")
 
 
-def peel_dead_ends(segments: DataFrame, removable: Column, fixed_node: Column | None = None, most_rounds: int = 1000) -> DataFrame:
+def peel_dead_ends(segments: DataFrame, removable: Column, fixed_node: Column | None = None) -> DataFrame:
     """``segments`` without removable ones that end at a node of no other segment, again and again until none is left.
 
     ``fixed_node`` is a condition on ``node_id``: such nodes (those on the boundary) are no dead ends. The
     result doesn't depend on the order. A null end is a dead end.
+
+    What is left of the removable segments leads on at both ends. A segment of a chain (through nodes of two segments, both removable)
+    stands or falls with its whole chain, once the chain has one dead end: so chains are contracted to one segment
+    each, by components over their inner nodes, and a round peels whole chains. Rounds follow the branching of the
+    dead-end trees, not the length of their branches, and go on with the removable segments alone, the legs
+    of the others being counted once.
     """
     scratch = Scratch(segments.sparkSession)
-    now = scratch.keep(segments.withColumn("__out", F.coalesce(removable, F.lit(False))))
-    for _ in range(most_rounds):
-        ends = now.select("road_id", "__out", F.explode(F.array_distinct(F.array("start_node_id", "end_node_id"))).alias("node_id"))
-        lone = leg_counts(now).where("legs = 1").select("node_id", F.lit(True).alias("lone"))
-        dead = ends.where("__out").join(lone, "node_id", "left").where("lone or node_id is null")
-        if fixed_node is not None:
-            dead = dead.where(~F.coalesce(fixed_node, F.lit(False)))
-        dead = scratch.keep(dead.select("road_id").distinct())
-        if not dead.limit(1).count():
-            return now.drop("__out")
-        before, now = now, scratch.keep(now.join(dead, "road_id", "left_anti"))
+    out = F.coalesce(removable, F.lit(False))
+    marked = scratch.keep(segments.select("road_id", "start_node_id", "end_node_id", out.alias("out")))
+    held = marked.where("not out").select(F.explode(F.array("start_node_id", "end_node_id")).alias("node_id")).where("node_id is not null").groupBy("node_id").agg(F.count("*").alias("held"))
+    loose = marked.where("out").select(F.col("road_id").alias("chain"), F.col("start_node_id").alias("s"), F.col("end_node_id").alias("e"))
+    ends = loose.select(F.explode(F.array("s", "e")).alias("node_id")).where("node_id is not null").distinct()
+    fixed = F.coalesce(fixed_node, F.lit(False)) if fixed_node is not None else F.lit(False)
+    # legs that never go: of segments that stay, and an endless one at nodes that are no dead ends
+    held = scratch.keep(ends.join(held, "node_id", "left").select("node_id", (F.coalesce("held", F.lit(0)) + F.when(fixed, 2).otherwise(0)).alias("held")).where("held > 0"))
+    member = scratch.keep(marked.where("out").select("road_id", F.col("road_id").alias("chain")))
+    now = scratch.keep(loose)
+    safe: DataFrame | None = None
+    while True:
+        legs = now.select("chain", F.explode(F.array("s", "e")).alias("node_id")).where("node_id is not null")
+        degree = legs.groupBy("node_id").agg(F.count("*").alias("n"), F.min("chain").alias("a"), F.max("chain").alias("b")).join(held, "node_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        degree = scratch.keep(degree.where("n + held <= 2"))
+        # contract: an inner node of two chains and nothing else joins them
+        inner = degree.where("n = 2 and held = 0 and a <> b")
+        if inner.take(1):
+            joined = connected_components(inner.select("a", "b"))
+            names = scratch.keep(joined.select(F.col("v").alias("chain"), F.col("component").alias("whole")))
+            renamed = now.join(names, "chain", "left").withColumn("chain", F.coalesce("whole", "chain"))
+            gone = inner.select("node_id")
+            tips = renamed.select("chain", F.posexplode(F.array("s", "e")).alias("side", "node_id")).join(gone, "node_id", "left_anti")
+            # of a whole chain two ends are left, of a ring none (it stays); its null ends are dead
+            tips = tips.groupBy("chain").agg(F.sort_array(F.collect_list("node_id")).alias("t"), F.count("*").alias("n"))
+            whole = renamed.select("chain").distinct().join(tips, "chain", "left")
+            again = whole.select("chain", F.get("t", 0).alias("s"), F.when(F.col("n") > 1, F.get("t", 1)).alias("e"), F.coalesce("n", F.lit(0)).alias("n"))
+            ring = again.where("n = 0").select("chain")
+            stays = member.join(names, "chain", "left").select("road_id", F.coalesce("whole", "chain").alias("chain"))
+            before, member = member, scratch.keep(stays)
+            scratch.drop(before)
+            rings = scratch.keep(ring)
+            again = again.where("n > 0").select("chain", "s", "e")
+            before, now = now, scratch.keep(again)
+            scratch.drop(before)
+            kept_rings = scratch.keep(member.join(rings, "chain", "left_semi").select("road_id"))
+            safe = kept_rings if safe is None else safe.unionAll(kept_rings)
+            legs = now.select("chain", F.explode(F.array("s", "e")).alias("node_id")).where("node_id is not null")
+            degree = legs.groupBy("node_id").agg(F.count("*").alias("n")).join(held, "node_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        lone = degree.where("n = 1 and held = 0").select("node_id", F.lit(True).alias("lone"))
+        tips = now.select("chain", F.explode(F.array("s", "e")).alias("node_id"))
+        dead = scratch.keep(tips.join(lone, "node_id", "left").where("lone or node_id is null").select("chain").distinct())
+        if not dead.take(1):
+            break
+        before, now = now, scratch.keep(now.join(dead, "chain", "left_anti"))
         scratch.drop(before)
-    raise RuntimeError(f"dead ends left after {most_rounds} rounds")
+    left = member.join(now.select("chain"), "chain", "left_semi").select("road_id")
+    left = left.unionAll(safe) if safe is not None else left
+    stay = marked.where("not out").select("road_id").unionAll(left)
+    return segments.join(stay, "road_id", "left_semi")
+
+
+def trail_roads(segments: DataFrame, wanted: Column) -> DataFrame:
+    """The wanted segments with path_id, the smallest road of the connected run they belong to."""
+    chosen = segments.where(F.coalesce(wanted, F.lit(False)))
+    links = chosen.select("road_id", F.explode(F.array("start_node_id", "end_node_id")).alias("n")).where("n is not null")
+    first = links.groupBy("n").agg(F.min("road_id").alias("b"))
+    edges = links.join(first, "n").select(F.col("road_id").alias("a"), "b")
+    named = connected_components(edges)
+    return chosen.join(named, chosen["road_id"] == named["v"], "left").withColumn("path_id", F.coalesce("component", "road_id")).drop("v", "component")
 
 
 def trails(segments: DataFrame, wanted: Column) -> DataFrame:
@@ -123,12 +177,19 @@ def trails(segments: DataFrame, wanted: Column) -> DataFrame:
     segments: road_id, start_node_id, end_node_id, length_m and the ends' x and y (x0, y0, x1, y1, in
     metres). path_id is the smallest road of the run.
     """
-    chosen = segments.where(F.coalesce(wanted, F.lit(False)))
-    links = chosen.select("road_id", F.explode(F.array("start_node_id", "end_node_id")).alias("n")).where("n is not null")
-    first = links.groupBy("n").agg(F.min("road_id").alias("b"))
-    edges = links.join(first, "n").select(F.col("road_id").alias("a"), "b")
-    named = connected_components(edges)
-    rows = chosen.join(named, chosen["road_id"] == named["v"], "left").withColumn("path_id", F.coalesce("component", "road_id"))
+    return trail_sizes(trail_roads(segments, wanted))
+
+
+def trail_sizes(roads: DataFrame) -> DataFrame:
+    """``trails`` from the segments that ``trail_roads`` named."""
     width = F.max(F.greatest("x0", "x1")) - F.min(F.least("x0", "x1"))
     height = F.max(F.greatest("y0", "y1")) - F.min(F.least("y0", "y1"))
-    return rows.groupBy("path_id").agg(F.count("*").alias("n_segments"), F.sum("length_m").alias("path_length"), F.sqrt(width * width + height * height).alias("bbox_length"))
+    return roads.groupBy("path_id").agg(F.count("*").alias("n_segments"), F.sum("length_m").alias("path_length"), F.sqrt(width * width + height * height).alias("bbox_length"))
+
+
+def with_ends(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``segments`` with the ends' places in metres, x0, y0, x1, y1 (null where a node has none)."""
+    places = nodes.where("abs(lat) <= 90 and abs(lon) <= 180").select("node_id", (F.radians("lon") * F.cos(F.radians("lat")) * EARTH_RADIUS_M).alias("x"), (F.radians("lat") * EARTH_RADIUS_M).alias("y"))
+    for node, k in (("start_node_id", 0), ("end_node_id", 1)):
+        segments = segments.join(places.withColumnsRenamed({"node_id": node, "x": f"x{k}", "y": f"y{k}"}), node, "left")
+    return segments

@@ -53,6 +53,32 @@ def test_components_and_peeling(spark):
     assert sorted(r["road_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 7]
 
 
+def peeled(roads, fixed=()):
+    """The roads left once no removable one has a null end or an end that no other end shares."""
+    roads = list(roads)
+    while True:
+        ends = [n for r in roads for n in r[1:3] if n is not None]
+        lone = lambda n: n is None or (ends.count(n) == 1 and n not in fixed)
+        dead = [r for r in roads if r[3] and any(map(lone, r[1:3]))]
+        if not dead:
+            return sorted(r[0] for r in roads)
+        roads = [r for r in roads if r not in dead]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_peeling_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    some = lambda: rng.choice([None, *range(22)]) if rng.random() < 0.1 else rng.randrange(22)
+    roads = [(k, some(), some(), rng.random() < 0.75) for k in range(24)]
+    # a long chain, a ring, a ring on a stick, a loop
+    roads += [(100 + k, 100 + k, 101 + k, True) for k in range(40)] + [(200 + k, 200 + k, 200 + (k + 1) % 5, True) for k in range(5)]
+    roads += [(300 + k, 300 + k, 300 + (k + 1) % 4, True) for k in range(4)] + [(310, 300, 310, True), (311, 310, 311, True), (320, 320, 320, True), (321, 320, 322, True)]
+    df = spark.createDataFrame(roads, "road_id int, start_node_id int, end_node_id int, minor boolean")
+    fixed = (100, 5)
+    assert sorted(r["road_id"] for r in N.peel_dead_ends(df, F.col("minor")).collect()) == peeled(roads)
+    assert sorted(r["road_id"] for r in N.peel_dead_ends(df, F.col("minor"), F.col("node_id").isin(*fixed)).collect()) == peeled(roads, fixed)
+
+
 def dijkstra(sources, edges, limit):
     best, heap = {}, [(0, v) for v in sources]
     while heap:
