@@ -6,17 +6,20 @@ import copy
 import hashlib
 import json
 from collections.abc import Mapping
+from dataclasses import fields
 from typing import Any
 
+from spokeline.catalog import CATEGORY_WEIGHTS, PEOPLE_WEIGHT, STANDARD, TRAIL_LENGTH_M, TRAIL_SPAN_M, Catalog, DestinationType
+
 DEFAULTS: dict[str, Any] = {
     "stress": {"flag_radius_m": 25.0, "link_model": "max", "levels": 3, "low": 1},
     "reach": {"limit_m": 2680, "ratio": 1.25},
-    "destinations": {"cluster_m": 50.0},
-    "scores": {"destination_steps": [0.4, 0.2, 0.1], "types": ["school", "clinic", "grocery", "pharmacy", "park", "transit", "college", "dentist", "library", "community_center", "retail", "hospital"]},
+    "trails": {"least_length_m": TRAIL_LENGTH_M, "least_span_m": TRAIL_SPAN_M},
+    "scores": {"people_weight": PEOPLE_WEIGHT, "category_weights": CATEGORY_WEIGHTS, "types": {}},
     "variables": {"speed_bare_unit": "km/h", "city_default_speed": None, "state_default_speed": None},
 }
 #: Which settings a stage's result depends on.
-SLICES = {"streets": (), "census": (), "attributes": ("variables",), "stress": ("stress", "variables"), "graph": ("stress", "variables"), "connectivity": ("stress", "reach", "variables"), "destinations": ("destinations",), "scores": ("scores",), "neighborhood": ("scores", "stress", "variables")}
+SLICES = {"streets": (), "census": (), "attributes": ("variables",), "stress": ("stress", "variables"), "graph": ("stress", "variables"), "connectivity": ("stress", "reach", "variables"), "trails": ("trails", "variables"), "jobs": (), "destinations": ("scores",), "scores": ("scores", "reach", "stress", "trails", "variables"), "neighborhood": ("scores", "stress", "variables")}
 
 
 def merged(base: Mapping[str, Any], layer: Mapping[str, Any]) -> dict:
@@ -72,20 +75,46 @@ class Config:
         block: Any = self.values
         for part in parents:
             block = block.get(part) if isinstance(block, dict) else None
-        if not isinstance(block, dict) or (leaf not in block and parents[:1] != ["variables"]):
+        if not isinstance(block, dict) or (leaf not in block and parents[:1] != ["variables"] and parents[:2] != ["scores", "types"]):
             raise KeyError(f"no setting {path}")
         block[leaf] = value
 
+    def catalog(self) -> Catalog:
+        """The standard destination types with the changes and additions of ``scores.types`` (name -> values)."""
+        known = {f.name for f in fields(DestinationType)}
+        types = {t.name: t for t in STANDARD}
+        for name, values in self.get("scores.types").items():
+            if unknown := set(values) - known:
+                raise ValueError(f"{name}: unknown settings {sorted(unknown)}")
+            values = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+            base = {f: getattr(types[name], f) for f in known} if name in types else {"name": name}
+            types[name] = DestinationType(**{**base, **values})
+        return Catalog(types.values(), self.get("scores.category_weights"), self.get("scores.people_weight"))
+
+    def to_json(self) -> str:
+        """All settings as text that ``from_json`` reads back."""
+        return json.dumps(self.values, indent=2, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Config:
+        return cls.build(json.loads(text), complete=True)
+
     def problems(self) -> list[str]:
         out = [f"unknown block {k}" for k in self.values if k not in DEFAULTS]
         if self.get("stress.link_model") not in ("max", "segment_only", "sum"):
             out.append(f"no such stress model: {self.get('stress.link_model')}")
-        for path in ("reach.limit_m", "reach.ratio", "destinations.cluster_m", "stress.flag_radius_m"):
+        for path in ("reach.limit_m", "reach.ratio", "stress.flag_radius_m"):
             value = self.get(path)
             if isinstance(value, bool) or not isinstance(value, (int, float)) or value <= 0:
                 out.append(f"{path} must be a positive number, not {value!r}")
-        if sum(self.get("scores.destination_steps")) > 1:
-            out.append("the steps of the destination score add up to more than 1")
+        for path in ("trails.least_length_m", "trails.least_span_m"):
+            value = self.get(path)
+            if isinstance(value, bool) or not isinstance(value, (int, float)) or value < 0:
+                out.append(f"{path} must be a number of at least 0, not {value!r}")
+        try:
+            self.catalog()
+        except (ValueError, TypeError) as e:
+            out.append(str(e))
         return out
 
     def slice_of(self, stage: str) -> str:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from spokeline.config import Config
 from spokeline.operators import city, network, reach
-from spokeline.operators.destinations import block_lists, cluster_types
+from spokeline.operators.destinations import block_lists, by_mode
 from spokeline.operators.near import containing_regions, regions_of, with_place
+from spokeline.operators.scores import block_scores, city_tables
 from spokeline.plans import attributes, stress
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, table
@@ -91,8 +92,10 @@ def run_stage(stage: Stage, tables: Mapping[str, DataFrame], config: Config) ->
     return stage.build(tables, config)
 
 
-def read_inputs(spark: SparkSession, folder: str) -> Tables:
-    return {n: table(spark, folder, n) for n in ("segments", "nodes", "census_blocks", "poi_raw", "extracts", "city_fips_speed", "state_fips_speed")}
+def read_inputs(spark: SparkSession, folder: str, jobs: DataFrame | None = None) -> Tables:
+    """The project's tables of a folder; ``jobs`` (block, jobs: workplaces by block code) where there are any."""
+    more = {"jobs": jobs} if jobs is not None else {}
+    return more | {n: table(spark, folder, n) for n in ("segments", "nodes", "census_blocks", "poi_raw", "extracts", "city_fips_speed", "state_fips_speed")}
 
 
 def _streets(t: Mapping[str, DataFrame], config: Config) -> Tables:
@@ -135,27 +138,47 @@ def _connectivity(t: Mapping[str, DataFrame], config: Config) -> Tables:
     return {"connectivity": reach.block_pairs(*costs, shared, v.select("block"), config.get("reach.ratio"))}
 
 
+def _trails(t: Mapping[str, DataFrame], config: Config) -> Tables:
+    """Runs of paths that are long enough to ride to, and their roads."""
+    roads = keep(network.trail_roads(network.with_ends(t["ways"], t["street_nodes"]), F.col("functional_class") == "path"))
+    sizes = network.trail_sizes(roads).where((F.col("path_length") >= config.get("trails.least_length_m")) & (F.col("bbox_length") >= config.get("trails.least_span_m")))
+    return {"trails": sizes, "trail_roads": roads.join(sizes.select("path_id"), "path_id", "left_semi").select("path_id", "road_id")}
+
+
+def _jobs(t: Mapping[str, DataFrame], config: Config) -> Tables:
+    return {"block_jobs": city.jobs_per_block(t["jobs"], "block", "jobs").select(F.col("blockid20").alias("block"), F.col("jobs").alias("amount"))} if "jobs" in t else {}
+
+
 def _destinations(t: Mapping[str, DataFrame], config: Config) -> Tables:
+    catalog = config.catalog()
+    names = catalog.names()
     poi = latest_rows(t["poi_raw"], ["osm_id"], "extracted_at", ["geometry", "matched_types"])
-    places = keep(with_place(poi, "geometry").where("lat is not null").select(F.col("osm_id").alias("id"), "lon", "lat", F.explode("matched_types").alias("dest_type")).where("dest_type is not null"))
-    clusters = cluster_types(places, config.get("destinations.cluster_m"), "dest_type")
-    lists = block_lists(t["regions"], places.select("id", "lon", "lat").distinct())
-    rows = clusters.join(lists, "id")
-    return {"destinations": rows.groupBy("dest_type", F.col("cluster").alias("id")).agg(F.array_distinct(F.flatten(F.collect_set("blockid20"))).alias("blockid20"))}
+    poi = keep(with_place(poi, "geometry").where("lat is not null"))
+    areas = regions_of(poi.select(F.col("osm_id").alias("iid"), "geometry"), "geometry")
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    places = poi.select(F.col("osm_id").alias("id"), "lon", "lat", F.explode("matched_types").alias("t")).withColumn("dest_type", F.try_element_at(known, F.col("t"))).where("dest_type is not null").drop("t").distinct()
+    areas = keep(areas)
+    places = places.join(areas.select(F.col("iid").alias("id"), F.lit(True).alias("a")), "id", "left").withColumn("is_area", F.col("a").isNotNull()).drop("a")
+    rows = by_mode(places, areas, {d.name: (d.mode, d.reach_m) for d in catalog.active("place")})
+    lists = block_lists(t["regions"], places.select("id", "lon", "lat").distinct()).withColumnRenamed("id", "place")
+    rows = rows.join(lists, "place")
+    return {"destinations": rows.groupBy("dest_type", "id").agg(F.array_distinct(F.flatten(F.collect_set("blockid20"))).alias("blockid20"))}
 
 
 def _scores(t: Mapping[str, DataFrame], config: Config) -> Tables:
-    blocks = t["blocks"].select("block")
-    people = city.block_access(t["connectivity"], t["blocks"].select("block", F.col("pop20").alias("amount")), blocks)
-    steps = tuple(config.get("scores.destination_steps"))
-    kinds = {k: steps for k in config.get("scores.types")}
-    there = city.destination_access(t["connectivity"], t["destinations"], blocks, kinds)
-    return {"scores": people.withColumnsRenamed({"high": "pop_high", "low": "pop_low", "score": "pop_score"}).join(there, "block")}
+    blocks, verts = t["blocks"].select("block", "pop20"), t["block_verts"]
+    ends = t["trail_roads"].select(F.col("path_id").alias("source"), F.col("road_id").alias("vert"))
+    low = F.coalesce(F.col("link_stress") <= config.get("stress.low"), F.lit(False))
+    reached = None
+    for links, is_low in ((t["links"], False), (t["links"].where(low), True)):
+        back = reach.reach_back(ends, links, config.get("reach.limit_m")).join(verts, "vert").select("block", F.col("source").alias("id"), F.lit(is_low).alias("low_stress")).distinct()
+        reached = back if reached is None else reached.unionAll(back)
+    return {"scores": block_scores(t["connectivity"], blocks, t["destinations"], config.catalog(), t.get("block_jobs"), reached)}
 
 
 def _neighborhood(t: Mapping[str, DataFrame], config: Config) -> Tables:
-    row = t["scores"].agg(city.weighted_by("pop_score", "pop_high").alias("people"), *[F.avg(f"{k}_score").alias(k) for k in config.get("scores.types")])
-    return {"score_inputs": city.long_table(row, {"people": F.col("people"), **{k: F.col(k) for k in config.get("scores.types")}}), "mileage": city.stress_miles(t["stress"], config.get("stress.low"))}
+    made = city_tables(t["scores"], t["blocks"], t["connectivity"], t["stress"], config.catalog())
+    return {**made, "mileage": city.facility_miles(t["stress"])}
 
 
 STAGES = (
@@ -165,9 +188,11 @@ STAGES = (
     Stage("stress", _stress, ("streets", "attributes"), written=True, version=2),
     Stage("graph", _graph, ("stress", "census"), written=True),
     Stage("connectivity", _connectivity, ("graph",), written=True),
-    Stage("destinations", _destinations, ("census",), written=True),
-    Stage("scores", _scores, ("connectivity", "destinations"), written=True),
-    Stage("neighborhood", _neighborhood, ("scores", "stress")),
+    Stage("trails", _trails, ("attributes", "streets"), written=True),
+    Stage("jobs", _jobs),
+    Stage("destinations", _destinations, ("census",), written=True, version=2),
+    Stage("scores", _scores, ("connectivity", "destinations", "graph", "jobs", "trails"), written=True, version=2),
+    Stage("neighborhood", _neighborhood, ("scores", "stress"), version=2),
 )
 
 

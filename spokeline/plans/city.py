@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spokeline.catalog import Catalog, DestinationType
 from spokeline.functions import scoring
-from spokeline.operators import city
+from spokeline.operators import city, scores
 from spokeline.operators.destinations import block_lists, cluster_types, outside_regions
 from spokeline.operators.near import regions_of, with_place
 from spokeline.plans.reference import BLOCK, DEST, NODE, SEG, nodes_of, segments_of
@@ -116,9 +117,9 @@ def overall_block_score(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("block", F.round(overall, 5).alias("overall_score"))
 
 
-@query(f"with {_PAIRS} select source_block as block, count(*) as n_reachable, count(*) filter (where low_stress) as n_low from p group by 1")
+@query(f"with {_PAIRS} select source_block as block, count(*) as reachable_blocks, count(*) filter (where low_stress) as reachable_low from p group by 1")
 def reachable_blocks_count(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).groupBy(F.col("source_block").alias("block")).agg(F.count("*").alias("n_reachable"), F.count_if("low_stress").alias("n_low"))
+    return scores.reachable_blocks(_pairs(spark, d))
 
 
 _DRATIO = f"d as (select dest_type, pop_low_stress as l, pop_high_stress as h from {DEST} where pop_low_stress >= 0 and pop_high_stress >= 0)"
@@ -144,6 +145,76 @@ def city_overall_rows(spark: SparkSession, d: str) -> DataFrame:
     return city.long_table(row, values)
 
 
+#: Two types and jobs for the scores of blocks and city: customers are blocks, with their orders as jobs.
+_CATALOG = Catalog((DestinationType("building", "core_services", 0.6, TYPES["building"]), DestinationType("machinery", "opportunity", 0.5, TYPES["machinery"])), {"core_services": 50, "opportunity": 35})
+_SCORED = f"""{_PAIRS}, blk as (select c_custkey as block, c_mktsegment as seg, floor(abs(c_acctbal))::bigint as pop, coalesce(n, 0) as jobs from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey),
+    a as (select source_block as block, count(*) as n, {", ".join(f"sum({v})::bigint as {k}_h, sum(case when low_stress then {v} else 0 end)::bigint as {k}_l" for k, v in (("pop", "pop"), ("emp", "jobs"), ("building", "(seg = 'BUILDING')::int"), ("machinery", "(seg = 'MACHINERY')::int")))} from p join blk on target_block = blk.block group by 1),
+    h as (select blk.block, pop, n, pop_h, coalesce(pop_l, 0) as pop_l, emp_h, coalesce(emp_l, 0) as emp_l, {", ".join(f"coalesce({k}_{x}, 0) as {k}_{x}" for k in TYPES for x in "hl")} from blk left join a using (block)),
+    s as (select *, {_access_sql("pop_l", "pop_h")} as pop_s, {_access_sql("emp_l", "emp_h")} as emp_s, {_dest_sql("building_l", "building_h", *TYPES["building"])} as building_s, {_dest_sql("machinery_l", "machinery_h", *TYPES["machinery"])} as machinery_s from h),
+    o as (select *, (coalesce(machinery_s, 0) * 0.5 + coalesce(emp_s, 0) * 0.5) / nullif((machinery_s is not null)::int * 0.5 + (emp_s is not null)::int * 0.5, 0) as opportunity,
+      case when pop_h is not null then 100 * (15 * coalesce(pop_s, 0) + case when building_h > 0 then 50 * coalesce(building_s, 0) else 0 end + case when machinery_h > 0 then 35 * (0.5 * coalesce(machinery_s, 0) + 0.5 * coalesce(emp_s, 0)) else 0 end)
+        / (15 + case when building_h > 0 then 50 else 0 end + case when machinery_h > 0 then 35 else 0 end) end as overall from s)"""
+
+
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs, blocks and their scores."""
+    pairs = keep(_pairs(spark, d))
+    blocks = _people(spark, d).withColumnRenamed("amount", "pop20")
+    jobs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("block")).agg(F.count("*").alias("amount"))
+    return pairs, blocks, keep(scores.block_scores(pairs, blocks, _destinations(spark, d), _CATALOG, jobs))
+
+
+@query(f"""with {_SCORED} select block, pop_h as pop_high_stress, emp_l as emp_low_stress, building_h as building_high_stress, machinery_l as machinery_low_stress, round(emp_s, 6) as emp_score, round(building_s, 6) as core_services_score,
+    round(opportunity, 6) as opportunity_score, round(overall, 5) as overall_score from o""")
+def scores_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks with what they reach, their categories and overall score; those that reach nothing have none."""
+    found = _scored(spark, d)[2]
+    return found.select("block", "pop_high_stress", "emp_low_stress", "building_high_stress", "machinery_low_stress", *[F.round(c, 6).alias(c) for c in ("emp_score", "core_services_score", "opportunity_score")], F.round("overall_score", 5).alias("overall_score"))
+
+
+def _inputs_sql() -> str:
+    share = lambda k, q: f"round(quantile_cont(case when {k}_h > 0 then {k}_l::double / {k}_h end, {q}), 4)"
+    average = lambda k, whole: f"round(coalesce({'floor' if whole else ''}(sum({k}_l)::double / nullif(sum({k}_h), 0)), 0), 4)"
+    mean = lambda k, only: f"round(coalesce(sum(pop * {k}_s) / nullif(sum(pop){only}, 0), 0), 4)"
+    rows = []
+    for start, k, category, noun, what in ((1, "pop", "People", "population", "population"), (6, "emp", "Opportunity", "employment", "jobs")):
+        rows += [(start + i, category, f"{n} score of access to {noun}", share(k, q), "") for i, (n, q) in enumerate((("Median", 0.5), ("70th percentile", 0.7), ("30th percentile", 0.3)))]
+        rows += [(start + 3, category, f"Average score of access to {noun}", average(k, False), ""), (start + 4, category, f"Average score of access to {what}", mean(k, ""), f"use_{k}")]
+    for start, k, category in ((133, "building", "Core Services"), (142, "machinery", "Opportunity")):
+        named = (("Median", 0.5), ("70th percentile", 0.7), ("30th percentile", 0.3))
+        rows.append((start, category, f"Average score of low stress access to {k}", average(k, True), ""))
+        rows += [(start + 1 + i, category, f"{n} score of {k} access", share(k, q), "") for i, (n, q) in enumerate(named)]
+        rows += [(start + 4, category, f"Average score of access to {k}", mean(k, f" filter (where {k}_h > 0)"), f"use_{k}"), (start + 5, category, f"Average {k} bike shed access score", "max(null::double)", "")]
+        rows += [(start + 6 + i, category, f"{n} {k} population shed score", "max(null::double)", "") for i, (n, q) in enumerate(named)]
+    return " union all ".join(f"select {i} as id, '{c}' as category, '{n}' as score_name, {e} as score, {f"'{f}'" if f else 'null'} as use_flag from o" for i, c, n, e, f in rows)
+
+
+@query(f"with {_SCORED} {_inputs_sql()}")
+def scores_city_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """The long table of the city's figures: medians, percentiles, averages, means by people, by type."""
+    pairs, blocks, found = _scored(spark, d)
+    return scores.score_inputs(scores.city_aggregates(found, blocks, pairs, _CATALOG), _CATALOG)
+
+
+_STRESS = "(select case when isnan(ft_seg_stress) then null else ft_seg_stress end as f, case when isnan(tf_seg_stress) then null else tf_seg_stress end as t, length_m from (select *, row_number() over (partition by road_id order by loaded_at desc) rn from stress_reference) where rn = 1 and length_m > 0 and length_m < 100000 and not isnan(length_m))"
+_MILES = f"""m as (select coalesce(sum(length_m * case when ok then (coalesce(f, 0) = 1)::int + (coalesce(t, 0) = 1)::int else 0 end) / 1609.34, 0) as low, coalesce(sum(length_m * case when ok then (coalesce(f, 0) = 3)::int + (coalesce(t, 0) = 3)::int else 0 end) / 1609.34, 0) as high
+    from (select *, coalesce(f, 0) in (0, 1, 3) and coalesce(t, 0) in (0, 1, 3) as ok from {_STRESS}))"""
+
+
+@query(f"""with {_SCORED}, {_MILES}, w as (select round(coalesce(sum(pop * pop_s) / nullif(sum(pop), 0), 0), 4) as people, round(coalesce(sum(pop * emp_s) / nullif(sum(pop), 0), 0), 4) as jobs, round(coalesce(sum(pop * building_s) / nullif(sum(pop) filter (where building_h > 0), 0), 0), 4) as building,
+      round(coalesce(sum(pop * machinery_s) / nullif(sum(pop) filter (where machinery_h > 0), 0), 0), 4) as machinery, coalesce(sum(overall / 100 * pop) filter (where n > 0 and pop > 0) / nullif(sum(pop) filter (where n > 0), 0), 0) as whole, sum(pop)::double as total,
+      coalesce(bool_or(machinery_h > 0), false)::int as has_m, coalesce(bool_or(emp_h > 0), false)::int as has_e from o),
+    r as (select 1 as place, 'people' as score_id, people as v from w union all select 2, 'opportunity_employment', jobs from w union all select 3, 'core_services_building', building from w union all select 4, 'opportunity_machinery', machinery from w
+      union all select 5, 'opportunity', (0.5 * machinery * has_m + 0.5 * jobs * has_e) / nullif(0.5 * has_m + 0.5 * has_e, 0) from w union all select 6, 'overall_score', whole from w union all select 7, 'population_total', total from w
+      union all select 8, 'total_miles_low_stress', low from m union all select 9, 'total_miles_high_stress', high from m)
+    select place, score_id, round(v, 6) as score_original, case when place = 7 then null when place >= 8 then round(v, 1) else round(v * 100, 4) end as score_normalized from r""")
+def scores_city(spark: SparkSession, d: str) -> DataFrame:
+    """People, jobs, types, categories, the city as a whole, and its miles."""
+    pairs, blocks, found = _scored(spark, d)
+    rows = scores.city_scores(scores.city_aggregates(found, blocks, pairs, _CATALOG), _CATALOG, city.stress_miles(_stress_rows(spark, d)))
+    return rows.withColumns({"score_original": F.round("score_original", 6), "score_normalized": F.round("score_normalized", 4)})
+
+
 _LEN = "length_m > 0 and length_m < 100000 and not isnan(length_m)"
 
 
@@ -156,17 +227,15 @@ def mileage_by_type(spark: SparkSession, d: str) -> DataFrame:
     return city.mileage(df, kinds).withColumn("total_mileage", F.round("total_mileage", 4))
 
 
-_STRESS_LATEST = "(select * exclude (rn) from (select *, row_number() over (partition by road_id order by loaded_at desc) rn from stress_reference) where rn = 1)"
+def _stress_rows(spark: SparkSession, d: str) -> DataFrame:
+    df = latest_rows(table(spark, d, "stress_reference"), ["road_id"], "loaded_at", ["length_m", "ft_seg_stress", "tf_seg_stress"]).where(_LEN)
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ft_seg_stress", "tf_seg_stress")})
 
 
-@query(f"""with s as (select length_m, case when isnan(ft_seg_stress) then null else ft_seg_stress end as f, case when isnan(tf_seg_stress) then null else tf_seg_stress end as t from {_STRESS_LATEST} where {_LEN})
-    select round(sum(length_m * ((f <= 1)::int + 0)) filter (where f is not null) / 1609.34 + sum(length_m * (t <= 1)::int) filter (where t is not null) / 1609.34, 4) as low_miles,
-      round(sum(length_m * (f > 1)::int) filter (where f is not null) / 1609.34 + sum(length_m * (t > 1)::int) filter (where t is not null) / 1609.34, 4) as high_miles from s""")
+@query(f"with {_MILES} select round(low, 4) as low_miles, round(high, 4) as high_miles from m")
 def total_miles(spark: SparkSession, d: str) -> DataFrame:
     """Miles of low and of high stress, each open direction counted."""
-    df = latest_rows(table(spark, d, "stress_reference"), ["road_id"], "loaded_at", ["length_m", "ft_seg_stress", "tf_seg_stress"]).where(_LEN)
-    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ft_seg_stress", "tf_seg_stress")})
-    return city.stress_miles(df).select(*[F.round(c, 4).alias(c) for c in ("low_miles", "high_miles")])
+    return city.stress_miles(_stress_rows(spark, d)).select(*[F.round(c, 4).alias(c) for c in ("low_miles", "high_miles")])
 
 
 @query("select lpad(l_suppkey::varchar, 15, '0') as blockid20, sum(l_quantity::bigint)::bigint as jobs from lineitem group by 1 having sum(l_quantity::bigint) > 0")

@@ -434,8 +434,6 @@ def dead_end_peel(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def trail_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Connected runs of paths and tracks that are long enough."""
-    nodes = nodes_of(spark, d).where("abs(lat) <= 90 and abs(lon) <= 180").select("node_id", (F.radians("lon") * F.cos(F.radians("lat")) * 6371008.8).alias("x"), (F.radians("lat") * 6371008.8).alias("y"))
     df = segments_of(spark, d, "start_node_id", "end_node_id", "functional_class", "length_m").where("functional_class in ('path', 'track') and length_m > 0 and length_m < 1e5 and not isnan(length_m)")
-    for node, k in (("start_node_id", 0), ("end_node_id", 1)):
-        df = df.join(nodes.withColumnsRenamed({"node_id": node, "x": f"x{k}", "y": f"y{k}"}), node, "left")
+    df = network.with_ends(df, nodes_of(spark, d))
     return network.trails(df, F.lit(True)).where("path_length >= 200").withColumns({c: F.round(c, 3) for c in ("path_length", "bbox_length")})

@@ -10,8 +10,8 @@ from spokeline.config import Config
 from spokeline.operators import network as N
 from spokeline.operators import reach as R
 from spokeline.operators.attributes import Attribute, AttributeRegistry
-from spokeline.operators.destinations import block_lists, cluster_places
-from spokeline.operators.near import regions_of
+from spokeline.operators.destinations import block_lists, by_mode, cluster_places
+from spokeline.operators.near import regions_of, with_place
 from spokeline.pipeline import STAGES, Stage, in_order, read_inputs, score_city
 from spokeline.plans.stress import spread_flags
 from spokeline.rules import read_program
@@ -144,7 +144,26 @@ def test_destinations_of_one_type_are_not_tied_by_another(spark):
     blocks = spark.createDataFrame([("b", "POLYGON ((6.9 47.9, 7.1 47.9, 7.1 48.1, 6.9 48.1, 6.9 47.9))")], "iid string, geometry string")
     stage = next(s for s in STAGES if s.name == "destinations")
     rows = stage.build({"poi_raw": poi, "regions": regions_of(blocks, "geometry")}, Config.default())["destinations"].collect()
-    assert sorted((r["dest_type"], r["id"], tuple(r["blockid20"])) for r in rows) == [("clinic", 1, ("b",)), ("park", 1, ("b",)), ("park", 3, ("b",))]
+    assert sorted((r["dest_type"], r["id"], tuple(r["blockid20"])) for r in rows) == [("doctors", 1, ("b",)), ("doctors", 2, ("b",)), ("doctors", 3, ("b",)), ("parks", 1, ("b",)), ("parks", 3, ("b",))]
+
+
+def test_destinations_by_mode(spark):
+    box = lambda x, w: f"POLYGON (({x} 48.0, {x + w} 48.0, {x + w} {48 + w}, {x} {48 + w}, {x} 48.0))"
+    point = lambda x, y=48.0001: f"POINT ({x} {y})"
+    # places of every type: two areas some 45 m apart, a point in the first, two points some 37 m apart far off, one 30 m beside the first area
+    spots = {1: box(7.0, 0.0003), 2: box(7.0006, 0.0003), 3: point(7.0001), 4: point(7.1), 5: point(7.1005), 6: point(6.99975)}
+    modes = {"alone": ("single", 0.0), "grounds": ("areas", 60.0), "shops": ("together", 60.0), "stops": ("stops", 45.0)}
+    rows = [(k, t) for k in spots for t in modes]
+    geo = with_place(spark.createDataFrame(list(spots.items()), "id int, geometry string"), "geometry")
+    areas = regions_of(geo.select(F.col("id").alias("iid"), "geometry"), "geometry")
+    places = spark.createDataFrame(rows, "id int, dest_type string").join(geo.select("id", "lon", "lat"), "id").withColumn("is_area", F.col("id") < 3)
+    got = {}
+    for r in by_mode(places, areas, modes).collect():
+        got.setdefault(r["dest_type"], {}).setdefault(r["id"], set()).add(r["place"])
+    assert got["alone"] == {1: {1}, 2: {2}, 4: {4}, 5: {5}, 6: {6}}
+    assert got["grounds"] == {1: {1, 2}, 4: {4}, 5: {5}, 6: {6}}
+    assert got["shops"] == {1: {1, 2, 3, 6}, 4: {4, 5}}
+    assert got["stops"] == {1: {1}, 2: {2}, 4: {4, 5}}
 
 
 def groups_of(roads):
@@ -217,11 +236,12 @@ def test_pipeline_order_and_pins(spark):
     config = Config.build(overrides={"reach.limit_m": "400"})
     result = score_city(read_inputs(spark, SMALL), config)
     assert result.ran[-1] == "neighborhood" and result.tables["scores"].count() > 0
+    assert result.tables["score_inputs"].count() == 132 and [r["score_id"] for r in result.tables["city_scores"].orderBy("place").collect()][::22] == ["people", "total_miles_high_stress"]
     pairs = result.tables["connectivity"]
     assert pairs.where("low_stress_cost < high_stress_cost").count() == 0 and pairs.where("high_stress_cost > 400").count() == 0
-    again = score_city(read_inputs(spark, SMALL), config, pinned={"connectivity": {"connectivity": pairs}, "census": {k: result.tables[k] for k in ("blocks", "regions")}}, to_stage="scores")
-    assert again.skipped == ["census", "connectivity"] and "stress" not in again.ran
-    assert sorted(map(str, again.tables["scores"].select("block", "pop_high").collect())) == sorted(map(str, result.tables["scores"].select("block", "pop_high").collect()))
+    again = score_city(read_inputs(spark, SMALL), config, pinned={"connectivity": {"connectivity": pairs}, "graph": {k: result.tables[k] for k in ("links", "block_verts")}, "census": {k: result.tables[k] for k in ("blocks", "regions")}}, to_stage="scores")
+    assert sorted(again.skipped) == ["census", "connectivity", "graph"] and "stress" not in again.ran
+    assert sorted(map(str, again.tables["scores"].select("block", "pop_high_stress", "overall_score").collect())) == sorted(map(str, result.tables["scores"].select("block", "pop_high_stress", "overall_score").collect()))
 
 
 def test_road_reach_equals_dijkstra(spark, tmp_path):
@@ -283,6 +303,17 @@ def test_attributes_stage(spark):
     assert town.where("road_id = 1").first()["speed_limit"] == 35
 
 
+def test_catalog():
+    catalog = Config.build(overrides={"scores.types.libraries": {"category": "recreation", "steps": [0.5, 0.0, 0.0], "aliases": ["library"]}, "scores.types.schools": {"enabled": False}, "scores.types.trails": {"weight": 0.25}}).catalog()
+    assert catalog.names()["library"] == "libraries" and "school" not in catalog.names() and round(catalog.weights("recreation")["libraries"], 6) == 0.1
+    assert round(catalog.jobs_weight(), 6) == 0.7 and len(Config.default().catalog().active()) == 14
+    for bad in ({"scores.people_weight": 20}, {"scores.types.parks": {"weight": 0.9}}, {"scores.types.zoos": {"category": "fun"}}, {"scores.types.parks": {"nothing": 1}}):
+        with pytest.raises(ValueError):
+            Config.build(overrides=bad)
+    config = Config.build(overrides={"reach.ratio": "1.5", "scores.types.zoos": {"category": "recreation", "weight": 0.0}})
+    assert Config.from_json(config.to_json()).values == config.values
+
+
 def test_config():
     assert Config.build().values == Config.default().values and Config.build({"reach": {"ratio": 2.0}}).get("reach.limit_m") == 2680
     with pytest.raises(ValueError):
