@@ -77,6 +77,19 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p8_text": p8_text, "p9_pack": p9_pack, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+def _latest(name: str, key: str, at: str) -> str:
+    return f"(select * exclude (rn) from (select *, row_number() over (partition by {key} order by {at} desc) rn from {name}) where rn = 1)"
+
+
 ORACLES = {
+    # the least road spreads over shared nodes until nothing changes
+    "p5_found": f"""with recursive s as {_latest("segments", "road_id", "extracted_at")}, l as (select distinct road_id, node_id from (select road_id, start_node_id as node_id from s union all select road_id, end_node_id from s) where node_id in (select node_id from nodes)),
+      e as (select distinct a.road_id as a, b.road_id as b from l a join l b using (node_id) where a.road_id <> b.road_id),
+      g(road_id, group_id) using key (road_id) as (select road_id, road_id from s where road_id is not null union select e.b, min(g.group_id) from g join e on g.road_id = e.a join recurring.g as old on old.road_id = e.b where g.group_id < old.group_id group by e.b)
+      select road_id, group_id from g""",
+    # groups of up to 2048 values are exact
+    "p6_found": f"""with d as (select dest_type, unnest([{{'field': 'pop_low_stress', 'v': pop_low_stress}}, {{'field': 'pop_high_stress', 'v': pop_high_stress}}], recursive := true) from {_latest("destinations", "id", "loaded_at")}),
+      r as (select *, row_number() over (partition by dest_type, field order by v) as rn, count(*) over (partition by dest_type, field) as n from d where v >= 0), p as (select unnest([25, 50, 75, 90, 95, 99])::int as percentile)
+      select dest_type, field, percentile, min(v)::bigint as amount from r, p where rn * 100 >= n * percentile group by 1, 2, 3""",
     "p8_text": "select doc_id, coalesce(text, '') as text from documents",
 }
