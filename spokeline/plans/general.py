@@ -108,3 +108,46 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
+
+
+def _latest(name: str, key: str, at: str) -> str:
+    return f"(select * exclude (rn) from (select *, row_number() over (partition by {key} order by {at} desc) rn from {name}) where rn = 1)"
+
+
+_NUMBERS = ("length_m", "ft_seg_stress", "tf_seg_stress", "ft_int_stress", "tf_int_stress")
+_TEXTS = ("functional_class", "one_way")
+
+
+def _copy_sql(name: str) -> str:
+    plain = ", ".join(f"case when isnan({c}) then null else {c} end as {c}" for c in _NUMBERS)
+    return f"(select road_id, {', '.join(_TEXTS)}, {plain} from {_latest(name, 'road_id', 'loaded_at')})"
+
+
+_DIFFS = f"""r as {_copy_sql("stress_reference")}, c as {_copy_sql("stress_computed")}, both_ as (select {", ".join(f"r.{x} as r_{x}, c.{x} as c_{x}" for x in ("road_id", *_TEXTS, *_NUMBERS))} from r full join c on r.road_id is not distinct from c.road_id),
+    d as (select coalesce(r_road_id, c_road_id) as road_id, 'rows_only_reference' as diff from both_ where c_road_id is null union all select c_road_id, 'rows_only_computed' from both_ where r_road_id is null
+      {" ".join(f"union all select r_road_id, '{x}' from both_ where r_road_id is not null and c_road_id is not null and r_{x} is distinct from c_{x}" for x in _TEXTS)}
+      {" ".join(f"union all select r_road_id, '{x}' from both_ where r_road_id is not null and c_road_id is not null and ((r_{x} is null) <> (c_{x} is null) or abs(r_{x} - c_{x}) > 1e-6)" for x in _NUMBERS)})"""
+
+
+def _most_frequent(rows: str, group: str, value: str) -> str:
+    """(g, v): the most frequent value of every group, the smaller of equal ones."""
+    return f"(select g, v from (select *, row_number() over (partition by g order by n desc, v) as rn from (select {group} as g, {value} as v, count(*) as n from {rows} where {group} is not null and {value} is not null group by 1, 2)) where rn = 1)"
+
+
+def _filled_sql(field: str, low: int, high: int) -> str:
+    return f"""select 'segments' as source_table, s.road_id::varchar as row_key, '{field}' as field, coalesce(w.v, t.v)::bigint as filled from seg s left join {_most_frequent(f"(select *, case when {field} between {low} and {high} then {field} end as x from seg)", "osm_id", "x")} w on w.g = s.osm_id
+      left join {_most_frequent(f"(select *, case when {field} between {low} and {high} then {field} end as x from seg)", "town", "x")} t on t.g = s.town where (s.{field} is null or s.{field} not between {low} and {high}) and coalesce(w.v, t.v) is not null"""
+
+
+_CODES = """city as (select lpad(fips_code_city, 7, '0') as code, min(case when speed between 5 and 85 then speed end) as speed from city_fips_speed where fips_code_city is not null group by 1),
+    state as (select lpad(fips_code_state, 2, '0') as code, min(case when speed between 5 and 85 then speed end) as speed from state_fips_speed where fips_code_state is not null group by 1)"""
+
+ORACLES = {
+    "p4_found": f"with {_DIFFS} select road_id, diff from d",
+    "p4_report": f"with {_DIFFS} select diff, count(*) as n_differ from d group by 1",
+    "p7_found": f"""with seg as (select *, case when city_fips is not null and functional_class is not null then lpad(city_fips, 7, '0') || '|' || functional_class end as town from {_latest("segments", "road_id", "extracted_at")}), {_CODES},
+      best as {_most_frequent("city", "left(code, 2)", "speed")}
+      {_filled_sql("speed_limit", 5, 85)} union all {_filled_sql("ft_lanes", 1, 8)}
+      union all select 'city_fips_speed', c.code, 'speed', coalesce(b.v, s.speed)::bigint from city c left join best b on b.g = left(c.code, 2) left join state s on s.code = left(c.code, 2) where c.speed is null and coalesce(b.v, s.speed) is not null
+      union all select 'state_fips_speed', s.code, 'speed', b.v::bigint from state s join best b on b.g = s.code where s.speed is null""",
+}

@@ -249,7 +249,13 @@ def stress_intersections(spark: SparkSession, d: str) -> DataFrame:
     return stress.intersection_stress(segments, keep(nodes_of(spark, d))).select("road_id", "ft_int_stress", "tf_int_stress")
 
 
-@query()
+_METRES = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(f.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(f.lat)) * pow(sin(radians(f.lon - c.lon) / 2), 2)))"
+
+
+@query(f"""with n as {NODE}, c as (select n.* from n join (select node_id from (select start_node_id as node_id from {SEG} union all select end_node_id from {SEG}) group by 1 having count(*) > 2) using (node_id) where abs(lat) <= 90 and abs(lon) <= 180 and not (lat = 0 and lon = 0)),
+    f as (select * from n where (signalized or stop or rrfb or island) and abs(lat) <= 90 and abs(lon) <= 180 and not (lat = 0 and lon = 0)),
+    w as (select c.node_id, {", ".join(f"bool_or(coalesce(f.{x}, false)) as {x}" for x in stress.NODE_FLAGS)} from c join f on f.lat between c.lat - 0.00023 and c.lat + 0.00023 where {_METRES} <= 25 group by 1)
+    select n.node_id, {", ".join(f"coalesce(n.{x}, false) or coalesce(w.{x}, false) as {x}" for x in stress.NODE_FLAGS)} from n left join w using (node_id)""")
 def node_flags_within(spark: SparkSession, d: str) -> DataFrame:
     """Signals, stops, beacons and islands spread to crossings within 25 m."""
     nodes = keep(nodes_of(spark, d).select("node_id", "lon", "lat", *stress.NODE_FLAGS))
@@ -284,9 +290,13 @@ def way_split_ordered(spark: SparkSession, d: str) -> DataFrame:
     return network.split_ways(_ways(spark, d)).select("osm_id", F.col("part").cast("bigint").alias("part"), F.size("node_ids").cast("bigint").alias("n_nodes"), F.element_at("node_ids", 1).alias("first_node"), F.element_at("node_ids", -1).alias("last_node"))
 
 
-@query("select distinct l_orderkey as osm_id from lineitem l where l_orderkey not in (select l_orderkey from lineitem where l_partkey in (select l_partkey from lineitem group by 1 having count(distinct l_orderkey) > 1))")
+@query(f"""with n as (select distinct osm_id, node_id from (select osm_id, start_node_id as node_id from {SEG} union all select osm_id, end_node_id from {SEG}) where node_id is not null and osm_id is not null)
+    select distinct osm_id from n where osm_id not in (select osm_id from n where node_id in (select node_id from n group by 1 having count(*) > 1))""")
 def orphan_ways(spark: SparkSession, d: str) -> DataFrame:
-    return network.orphan_ways(_ways(spark, d))
+    """Ways of the road network that meet no other."""
+    ends = segments_of(spark, d, "osm_id", "start_node_id", "end_node_id").where("osm_id is not null")
+    ways = ends.groupBy("osm_id").agg(F.array_compact(F.flatten(F.collect_list(F.array("start_node_id", "end_node_id")))).alias("node_ids")).where(F.size("node_ids") > 0)
+    return network.orphan_ways(ways)
 
 
 _LINKS = f"""with s as (select road_id, start_node_id, end_node_id, one_way, length_m, case functional_class when 'path' then 1 when 'trunk' then 3 else 2 end as f, case when ft_lanes > 1 then 3 else 1 end as t, case when tf_lanes > 2 then 2 else 1 end as i from {SEG} where not isnan(length_m)),
@@ -414,7 +424,10 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return network.connected_components(c.join(s, F.col("b") == F.col("a") + 5))
 
 
-@query()
+@query(f"""with recursive s as {SEG}, l as (select distinct road_id, node_id from (select road_id, start_node_id as node_id from s union all select road_id, end_node_id from s) where node_id is not null),
+    e as (select distinct a.road_id as a, b.road_id as b from l a join l b using (node_id) where a.road_id <> b.road_id),
+    g(road_id, component) using key (road_id) as (select road_id, road_id from s union select e.b, min(g.component) from g join e on g.road_id = e.a join recurring.g as old on old.road_id = e.b where g.component < old.component group by e.b)
+    select road_id, component from g""")
 def road_components(spark: SparkSession, d: str) -> DataFrame:
     """(road_id, component) of every road: roads linked by shared nodes, the component named by its smallest road."""
     roads = keep(segments_of(spark, d, "start_node_id", "end_node_id"))
