@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from spokeline.functions import scoring
 from spokeline.operators import city, scores
 from spokeline.operators.destinations import block_lists, cluster_types, outside_regions
 from spokeline.operators.near import regions_of, with_place
-from spokeline.plans.reference import BLOCK, DEST, NODE, SEG, nodes_of, segments_of
+from spokeline.plans.reference import BLOCK, DEST, NODE, SEG, nodes_of, query_table, segments_of
 from spokeline.plans.stress import segment_stress_program
 from spokeline.rules import analysis, read_program
 from spokeline.session import keep
@@ -21,18 +19,7 @@ from spokeline.sources.files import default_speeds, union_regions
 from spokeline.sources.tables import latest_rows, table
 from spokeline.streaming.rules import decide_stream, run_once, stream_table, windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = query_table()
 
 
 def _access_sql(low: str, high: str) -> str:

@@ -16,18 +16,25 @@ from spokeline.rules import apply, matcher, read_matcher, read_program
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, pad_code, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
+def query_table():
+    """Queries by name, SQL by name, and the decorator that adds to both."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracles: dict[str, str] = {}
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def add(f: Callable[[SparkSession, str], DataFrame]):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = query_table()
 
 
 def segments_of(spark: SparkSession, d: str, *columns: str) -> DataFrame:
