@@ -30,13 +30,13 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spokeline.session import Scratch
@@ -45,7 +45,7 @@ MAX_INNER = 3
 DISCOUNT = 3.0
 PRUNE = 1e-4
 #: The rounds end when less than this share of the items at work changes.
-SETTLED = 1e-3
+SETTLED = 1e-2
 #: A span less likely than its pieces by more than this factor (as a log) needs no forward-backward.
 HOPELESS = -25.0
 HINT = 1e-8
@@ -129,8 +129,10 @@ def _features(text: str) -> tuple[str, str, float]:
     return (key, *_item_shape(key))
 
 
-def _chances(keys: list, shapes: list, hard: list, inner: list, own: list, kc: list, kp: list, sc: list, total: float) -> list[float]:
-    """Log chance of each span's item from the evidence of the other texts; an empty piece costs nothing.
+def _chances(keys: list, shapes: list, lengths: list, hard: list, inner: list, own: list, kc: list, kp: list, sc: list, total: float) -> list[float]:
+    """Log chance of each span's item from the evidence of the other texts; an empty piece (key None) costs nothing.
+
+    keys, shapes: anything equal for equal items and shapes; lengths: of the shapes.
 
     own: how often this text itself counts each span; inner: its candidates inside; kc, kp, sc: evidence of the item alone, of the item with
     candidates inside, and of its shape; hard: the log chance of the item among those of its shape.
@@ -141,12 +143,12 @@ def _chances(keys: list, shapes: list, hard: list, inner: list, own: list, kc: l
         alike[shape_] += weight
     out = []
     rarest = math.log(1e-3 / total)
-    for key, shape_, h, within, c, p, s in zip(keys, shapes, hard, inner, kc, kp, sc):
-        if key == "":
+    for key, shape_, length, h, within, c, p, s in zip(keys, shapes, lengths, hard, inner, kc, kp, sc):
+        if key is None:
             out.append(0.0)
             continue
         # an unseen shape with candidates inside is worth no more than as many unseen ones without
-        rare, known = (within + 1) * rarest - len(shape_), s - alike[shape_]
+        rare, known = (within + 1) * rarest - length, s - alike[shape_]
         seen = 0.9 * (max(0.0, c - alone[key]) + max(0.0, p - packed[key] - DISCOUNT)) / total
         whole = seen + 0.1 * (math.exp(rare) + max(0.0, known) / total) * math.exp(h)
         if whole > 1e-250:
@@ -228,14 +230,24 @@ def _mark(delimiter: str) -> str:
     return delimiter.strip()[:1] or delimiter[:1]
 
 
-_SPAN = "field string, id bigint, n bigint, marks string, i int, j int, key string, shape string, hard double, post double, moved double"
+#: Spans as texts give them; tables hold ``_NUMBERED``, with numbers in place of keys and shapes.
+_SPAN = "field string, id bigint, n bigint, marks string, i int, j int, key string, shape string, hard double, post double"
+_NUMBERED = "field string, id bigint, n bigint, marks string, i int, j int, key bigint, shape bigint, len int, hard double, post double, moved double"
+_SPAN_ARROW = [("field", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("marks", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.string()), ("shape", pa.string()), ("hard", pa.float64()), ("post", pa.float64())]
+_NUMBERED_ARROW = [*_SPAN_ARROW[:6], ("key", pa.int64()), ("shape", pa.int64()), ("len", pa.int32()), ("hard", pa.float64()), ("post", pa.float64()), ("moved", pa.float64())]
 
 
-def _batch(columns: dict[str, list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in schema], names=[c for c, _ in schema])
+def _number(field: str, c: str) -> Column:
+    """A 64-bit number for an item or shape of a field, null for the empty one: joins and sorts move it instead of the text."""
+    return F.when(F.col(c) != "", F.xxhash64(F.col(field), F.col(c)))
+
 
+def _numbered(spans: DataFrame) -> DataFrame:
+    return spans.select("field", "id", "n", "marks", "i", "j", _number("field", "key").alias("key"), F.xxhash64("field", "shape").alias("shape"), F.length("shape").alias("len"), "hard", "post", F.lit(0.0).alias("moved"))
 
-_SPAN_ARROW = [("field", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("marks", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.string()), ("shape", pa.string()), ("hard", pa.float64()), ("post", pa.float64()), ("moved", pa.float64())]
+
+def _batch(columns: dict[str, list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in schema], names=[c for c, _ in schema])
 
 
 @lru_cache(maxsize=1000)
@@ -253,20 +265,21 @@ def _all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, delims = pieces(text)
             lattice = _lattice(len(parts))
             found = [_features(_span_text(parts, delims, i, j)) for i, j in lattice]
-            _extend(out, (field, number, n, "".join(map(_mark, delims))), [x[0] for x in lattice], [x[1] for x in lattice], *zip(*found), _first_guess(len(parts)))
+            key, shapes, hard = zip(*found)
+            _extend(out, (field, number, n, "".join(map(_mark, delims))), {"i": [x[0] for x in lattice], "j": [x[1] for x in lattice], "key": key, "shape": shapes, "hard": hard, "post": _first_guess(len(parts))})
             if len(out["i"]) > 50_000:
                 yield _batch(out, _SPAN_ARROW)
                 out = {c: [] for c, _ in _SPAN_ARROW}
         yield _batch(out, _SPAN_ARROW)
 
 
-def _extend(out: dict[str, list], text: tuple, i, j, key, shapes, hard, post, moved: float = 0.0) -> None:
-    """Add one text's spans to the columns of ``_SPAN``; the first one carries how far the text's chances moved."""
+def _extend(out: dict[str, list], text: tuple, spans: dict[str, Sequence]) -> None:
+    """Add one text's spans to the columns of a batch."""
+    size = len(spans["i"])
     for c, v in zip(("field", "id", "n", "marks"), text):
-        out[c] += [v] * len(i)
-    for c, v in zip(("i", "j", "key", "shape", "hard", "post"), (i, j, key, shapes, hard, post)):
+        out[c] += [v] * size
+    for c, v in spans.items():
         out[c] += v
-    out["moved"] += [moved] + [0.0] * (len(i) - 1)
 
 
 def _long_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +289,8 @@ def _long_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for field, number, text, n, at in zip(*[batch[c].to_pylist() for c in ("field", "id", "value", "n", "at")]):
             parts, delims = pieces(text)
             found = [_features(_span_text(parts, delims, x["i"], x["j"])) for x in at]
-            _extend(out, (field, number, n, "".join(map(_mark, delims))), [x["i"] for x in at], [x["j"] for x in at], *zip(*found), [HINT * 2.0 ** (x["i"] - x["j"]) for x in at])
+            key, shapes, hard = zip(*found)
+            _extend(out, (field, number, n, "".join(map(_mark, delims))), {"i": [x["i"] for x in at], "j": [x["j"] for x in at], "key": key, "shape": shapes, "hard": hard, "post": [HINT * 2.0 ** (x["i"] - x["j"]) for x in at]})
         yield _batch(out, _SPAN_ARROW)
 
 
@@ -310,21 +324,22 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
     looked = values.where(F.col("value").isNotNull()).withColumn("l", look("value"))
     looked = scratch.keep(looked.select("field", "value", F.monotonically_increasing_id().alias("id"), F.col("n").cast("bigint").alias("n"), "l.*"))
     texts = looked.where("many").select("field", "id", "value", "n")
-    now = scratch.keep(texts.select("field", "id", "value", "n").mapInArrow(_all_spans, _SPAN))
-    lengths = scratch.keep(looked.where("beginning is not null").select("field", F.col("beginning").alias("key"), "pieces").distinct())
+    now = scratch.keep(texts.select("field", "id", "value", "n").mapInArrow(_all_spans, _SPAN).transform(_numbered))
+    lengths = scratch.keep(looked.where("beginning is not null").select(_number("field", "beginning").alias("key"), "pieces").distinct())
     if lengths.take(1):
-        same = now.where(F.col("j") - F.col("i") == MAX_INNER).select("field", "id", "i", "key", F.length("marks").alias("last")).join(lengths, ["field", "key"])
+        same = now.where(F.col("j") - F.col("i") == MAX_INNER).select("id", "i", "key", F.length("marks").alias("last")).join(lengths, "key")
         at = same.select("id", "i", (F.col("i") + F.col("pieces") - 1).alias("j"), "last").where("j <= last and not (i = 0 and j = last)")
         at = at.groupBy("id").agg(F.collect_set(F.struct("i", "j")).alias("at"))
-        longer = scratch.keep(texts.join(at, "id").select("field", "id", "value", "n", "at").mapInArrow(_long_spans, _SPAN))
+        longer = scratch.keep(texts.join(at, "id").select("field", "id", "value", "n", "at").mapInArrow(_long_spans, _SPAN).transform(_numbered))
         now = now.unionAll(longer)
 
     # how often every item stands alone: in texts without candidates at first, then in all texts by their pieces
     zero, weight, inner = F.lit(0.0), F.col("n") * F.col("post"), F.col("i") < F.col("j")
-    plain = scratch.keep(looked.where("not many and key <> ''").groupBy("field", "key", "shape").agg(F.sum(F.col("n").cast("double")).alias("c")))
+    singles = looked.where("not many and key <> ''").select("field", _number("field", "key").alias("key"), F.xxhash64("field", "shape").alias("shape"), F.col("n").cast("double").alias("n"))
+    plain = scratch.keep(singles.groupBy("key", "shape").agg(F.sum("n").alias("c")))
     all_pieces = now.where("i = j").select("field", "n", F.substr("marks", F.col("i") + 1, F.lit(1)).alias("mark")).groupBy("field", "mark").agg(F.sum("n").alias("n")).collect()
     all_marks = {(r["field"], r["mark"]): r["n"] for r in all_pieces if r["mark"]}
-    totals: dict[str, float] = {r["field"]: r["c"] + 1.0 for r in plain.groupBy("field").agg(F.sum("c").alias("c")).collect()}
+    totals: dict[str, float] = {r["field"]: r["c"] + 1.0 for r in singles.groupBy("field").agg(F.sum("n").alias("c")).collect()}
     for r in all_pieces:
         totals[r["field"]] = totals.get(r["field"], 1.0) + r["n"]
     kept_marks: dict[tuple[str, str], float] = {}
@@ -335,18 +350,19 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
         ``of_shapes``: ``alone`` summed by shape, given once the pieces of the texts at work are counted in it.
         """
         counted = of_shapes is not None
-        mine = now.where("key <> ''").select("field", "key", "shape", F.when(inner, zero).otherwise(weight - F.col("n") if counted else weight).alias("c"), F.when(inner, weight).otherwise(zero).alias("p"))
-        mine = mine.groupBy("field", "key", "shape").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
-        known = alone.join(mine.select("field", "key"), ["field", "key"], "left_semi") if counted else alone
-        items = known.select("field", "key", "shape", "c", zero.alias("p")).unionAll(mine).groupBy("field", "key", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp"))
+        mine = now.where("key is not null").select("key", "shape", F.when(inner, zero).otherwise(weight - F.col("n") if counted else weight).alias("c"), F.when(inner, weight).otherwise(zero).alias("p"))
+        mine = mine.groupBy("key", "shape").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+        known = alone.join(mine.select("key"), "key", "left_semi") if counted else alone
+        items = known.select("key", "shape", "c", zero.alias("p")).unionAll(mine).groupBy("key", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp"))
         if counted:
-            shapes = mine.groupBy("field", "shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp")).join(of_shapes, ["field", "shape"], "left").select("field", "shape", (F.coalesce("s", zero) + F.col("kc") + F.greatest(F.col("kp") - DISCOUNT, zero)).alias("sc"))
+            shapes = mine.groupBy("shape").agg(F.sum("c").alias("kc"), F.sum("p").alias("kp")).join(of_shapes, "shape", "left").select("shape", (F.coalesce("s", zero) + F.col("kc") + F.greatest(F.col("kp") - DISCOUNT, zero)).alias("sc"))
         else:
-            shapes = items.groupBy("field", "shape").agg((F.sum("kc") + F.greatest(F.sum("kp") - DISCOUNT, zero)).alias("sc"))
-        model = items.join(shapes, ["field", "shape"]).select("field", "key", "kc", "kp", "sc")
-        row = F.struct("i", "j", "key", "shape", "hard", "post", *[F.coalesce(c, zero).alias(c) for c in ("kc", "kp", "sc")])
-        whole = now.join(model, ["field", "key"], "left").groupBy("id").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.collect_list(row).alias("s"))
-        return whole.select("field", "id", "n", "marks", *[F.col(f"s.{c}").alias(c) for c in ("i", "j", "key", "shape", "hard", "post", "kc", "kp", "sc")])
+            shapes = items.groupBy("shape").agg((F.sum("kc") + F.greatest(F.sum("kp") - DISCOUNT, zero)).alias("sc"))
+        model = items.join(shapes, "shape").select("key", "kc", "kp", "sc")
+        names = ("i", "j", "key", "shape", "len", "hard", "post")
+        row = F.struct(*names, *[F.coalesce(c, zero).alias(c) for c in ("kc", "kp", "sc")])
+        whole = now.join(model, "key", "left").groupBy("id").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.collect_list(row).alias("s"))
+        return whole.select("field", "id", "n", "marks", *[F.col(f"s.{c}").alias(c) for c in (*names, "kc", "kp", "sc")])
 
     def learnt() -> dict[str, dict[str, float]]:
         out: dict[str, dict[str, float]] = defaultdict(dict)
@@ -356,20 +372,20 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
         return dict(out)
 
     def lattices(batch: pa.RecordBatch) -> Iterator[tuple]:
-        columns = [batch[c].to_pylist() for c in ("field", "id", "n", "marks", "i", "j", "key", "shape", "hard", "post", "kc", "kp", "sc")]
-        for field, number, n, marks, i, j, key, shapes, hard, post, kc, kp, sc in zip(*columns):
+        columns = [batch[c].to_pylist() for c in ("field", "id", "n", "marks", "i", "j", "key", "shape", "len", "hard", "post", "kc", "kp", "sc")]
+        for field, number, n, marks, i, j, key, shapes, lengths, hard, post, kc, kp, sc in zip(*columns):
             # one record's own counts are left out, the others that hold the same text speak
-            chance = _chances(key, shapes, hard, [b - a for a, b in zip(i, j)], post, kc, kp, sc, totals[field])
-            yield field, number, n, marks, dict(zip(zip(i, j), chance)), dict(zip(zip(i, j), zip(key, shapes, hard, post)))
+            chance = _chances(key, shapes, lengths, hard, [b - a for a, b in zip(i, j)], post, kc, kp, sc, totals[field])
+            yield field, number, n, marks, dict(zip(zip(i, j), chance)), dict(zip(zip(i, j), zip(key, shapes, lengths, hard, post)))
 
-    alone, of_shapes, pieces_alone, done = plain, None, now.where("i = j and key <> ''"), 0
+    alone, of_shapes, pieces_alone, done = plain, None, now.where("i = j and key is not null"), 0
     while rounds is None or done < rounds:
         chances = learnt()
 
         def expect(batches: Iterator[pa.RecordBatch], chances: dict = chances) -> Iterator[pa.RecordBatch]:
             """The spans, with their new chances, of the texts that aren't settled."""
             for batch in batches:
-                out: dict[str, list] = {c: [] for c, _ in _SPAN_ARROW}
+                out: dict[str, list] = {c: [] for c, _ in _NUMBERED_ARROW}
                 for field, number, n, marks, score, items in lattices(batch):
                     chance = chances.get(field, {})
                     if _is_plain(marks, score, chance):
@@ -377,12 +393,14 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
                     post = posteriors(marks, score, chance)
                     kept = [s for s, p in post.items() if s[0] == s[1] or p > PRUNE]
                     if len(kept) > len(marks) + 1:
-                        moved = n * sum(abs(p - items[s][3]) for s, p in post.items())
-                        _extend(out, (field, number, n, marks), [s[0] for s in kept], [s[1] for s in kept], *zip(*[items[s][:3] for s in kept]), [post[s] for s in kept], moved)
-                yield _batch(out, _SPAN_ARROW)
+                        moved = n * sum(abs(p - items[s][4]) for s, p in post.items())
+                        key, shapes, lengths, hard, _ = zip(*[items[s] for s in kept])
+                        spans = {"i": [s[0] for s in kept], "j": [s[1] for s in kept], "key": key, "shape": shapes, "len": lengths, "hard": hard, "post": [post[s] for s in kept], "moved": [moved, *[0.0] * (len(kept) - 1)]}
+                        _extend(out, (field, number, n, marks), spans)
+                yield _batch(out, _NUMBERED_ARROW)
 
         seen = Observation()
-        step = grouped(alone, of_shapes).mapInArrow(expect, _SPAN)
+        step = grouped(alone, of_shapes).mapInArrow(expect, _NUMBERED)
         now = scratch.keep(step.observe(seen, F.sum("moved").alias("moved"), F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))).alias("items")))
         moved, at_work = seen.get["moved"] or 0.0, seen.get["items"] or 0
         kept = now.where("i < j").select("field", F.explode(F.split(F.expr("substr(marks, i + 1, j - i)"), "")).alias("mark"), (F.col("n") * F.col("post")).alias("c"))
@@ -391,8 +409,8 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
         if not at_work:
             break
         if of_shapes is None:
-            alone = scratch.keep(plain.unionAll(pieces_alone.select("field", "key", "shape", F.col("n").cast("double"))).groupBy("field", "key", "shape").agg(F.sum("c").alias("c")))
-            of_shapes = scratch.keep(alone.groupBy("field", "shape").agg(F.sum("c").alias("s")))
+            alone = scratch.keep(plain.unionAll(pieces_alone.select("key", "shape", F.col("n").cast("double"))).groupBy("key", "shape").agg(F.sum("c").alias("c")))
+            of_shapes = scratch.keep(alone.groupBy("shape").agg(F.sum("c").alias("s")))
         if moved <= SETTLED * at_work:
             break
 

@@ -35,8 +35,10 @@ MULTI_TAGS = ("cuisine", "sport", "payment", "phone")
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     segments = latest_rows(table(spark, d, "segments"), ["road_id"], "extracted_at", ["maxspeed"])
-    pois = latest_rows(table(spark, d, "poi_raw"), ["osm_id"], "extracted_at", ["tags"])
-    tags = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.try_element_at("tags", F.lit(k)).alias("value")) for k in MULTI_TAGS]))
+    # the tags in question before the row in force is picked: whole maps are costly to compare and move
+    pois = table(spark, d, "poi_raw").select("osm_id", "extracted_at", *[F.try_element_at("tags", F.lit(k)).alias(k) for k in MULTI_TAGS])
+    pois = latest_rows(pois, ["osm_id"], "extracted_at")
+    tags = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in MULTI_TAGS]))
     pois = pois.withColumn("t", tags).select(F.lit("poi_raw").alias("source_table"), F.col("osm_id").alias("record_id"), "t.field", "t.value")
     segments = segments.select(F.lit("segments").alias("source_table"), F.col("road_id").alias("record_id"), F.lit("maxspeed").alias("field"), F.col("maxspeed").alias("value"))
     return segments.unionAll(pois).where("value is not null")
