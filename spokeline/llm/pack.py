@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from spokeline.session import Scratch
 GROUPS = 32
 SMALL = 16
 SHARD = 20_000
-PRICINGS = 400
+#: So many pivots for each group without any gain end column generation, with a warning.
+STALLED = 50
 
 
 def token_pieces(docs: DataFrame, doc: str, text: str, capacity: int, path: str | None = None) -> DataFrame:
@@ -100,7 +102,9 @@ def configurations(groups: list[tuple[int, int]], capacity: int) -> list[tuple[n
     sizes, need = np.array([s for s, _ in groups]), np.array([n for _, n in groups], dtype=np.float64)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(np.float64)
     x = need / np.diag(basis)
-    for _ in range(PRICINGS):
+    best, stalled = math.inf, 0
+    while stalled <= STALLED * len(sizes):
+        best, stalled = (float(x.sum()), 0) if x.sum() < best - 1e-9 else (best, stalled + 1)
         duals = np.linalg.solve(basis.T, np.ones(len(sizes)))
         column, worth = _best_configuration(sizes, np.maximum(duals, 0), capacity)
         if worth <= 1 + 1e-7:
@@ -113,6 +117,8 @@ def configurations(groups: list[tuple[int, int]], capacity: int) -> list[tuple[n
         x = np.maximum(0, x - step * ratios[leave])
         x[leave] = ratios[leave]
         basis[:, leave] = column
+    else:
+        warnings.warn(f"column generation stalled at {best:.1f} containers; the optimum may be lower", stacklevel=2)
     out, left = [], need.astype(np.int64).copy()
     for k in np.argsort(-x):
         column = basis[:, k].round().astype(np.int64)

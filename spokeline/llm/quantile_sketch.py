@@ -110,7 +110,9 @@ def _seed(*parts: object) -> int:
 
 def build_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> DataFrame:
     """(keys, sketch BINARY): one sketch per group and task. Null and NaN values don't count; a null key is a
-    key of its own; groups without values have no row."""
+    key of its own; groups without values have no row. Without keys the whole column is one group."""
+    if not keys:
+        return build_sketches(df.withColumn("__all", F.lit(0)), ["__all"], value, k).drop("__all")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
 
@@ -142,6 +144,8 @@ def build_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -
 
 def merge_sketches(sketches: DataFrame, keys: Sequence[str], fan: int = FAN) -> DataFrame:
     """(keys, sketch): one sketch per group. Merged in two steps; each holds one sketch at a time per group."""
+    if not keys:
+        return merge_sketches(sketches.withColumn("__all", F.lit(0)), ["__all"], fan).drop("__all")
     kinds = ", ".join(f"`{c}` {sketches.schema[c].dataType.simpleString()}" for c in keys)
 
     def merged(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -173,7 +177,7 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], fan: int = FAN) ->
 
 def percentiles_of(sketches: DataFrame, keys: Sequence[str], percents: Sequence[int]) -> DataFrame:
     """(keys, percentile INT, amount DOUBLE) from one sketch per group."""
-    kinds = ", ".join(f"`{c}` {sketches.schema[c].dataType.simpleString()}" for c in keys)
+    kinds = "".join(f"`{c}` {sketches.schema[c].dataType.simpleString()}, " for c in keys)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +187,7 @@ def percentiles_of(sketches: DataFrame, keys: Sequence[str], percents: Sequence[
             arrays += [pa.array(list(percents) * len(found), type=pa.int32()), pa.array([x for f in found for x in f], type=pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "percentile", "amount"])
 
-    return sketches.mapInArrow(read, f"{kinds}, percentile int, amount double")
+    return sketches.mapInArrow(read, f"{kinds}percentile int, amount double")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], k: int = K) -> DataFrame:

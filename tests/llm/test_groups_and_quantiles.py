@@ -90,3 +90,9 @@ def test_percentiles_of_groups(spark):
     got = {(r["g"], r["percentile"]): r["amount"] for r in Q.percentiles_of(halves, ["g"], [25, 50, 99]).collect()}
     assert got == {("a", 25): 25, ("a", 50): 50, ("a", 99): 99, (None, 25): 5, (None, 50): 5, (None, 99): 5, ("c", 25): 7, ("c", 50): 7, ("c", 99): 7}
     assert Q.percentiles(df.where("false"), ["g"], "v", [50]).count() == 0
+
+
+def test_percentiles_of_a_whole_column(spark):
+    df = spark.createDataFrame([(float(k),) for k in range(1, 101)] + [(None,)], "v double").repartition(3)
+    assert {r["percentile"]: r["amount"] for r in Q.percentiles(df, [], "v", [25, 99]).collect()} == {25: 25, 99: 99}
+    assert Q.percentiles(df.where("false"), [], "v", [50]).count() == 0
