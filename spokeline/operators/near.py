@@ -35,6 +35,8 @@ from spokeline.operators.ranges import range_cuts, range_of
 from spokeline.session import Scratch
 
 CANDIDATES = 2_000_000
+#: Classes of region heights: the lowest one in degrees, and how much higher the next one is.
+LOWEST, CLASS = 1e-4, 16
 Verify = Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -219,8 +221,17 @@ def containing_regions(regions: DataFrame, points: DataFrame) -> DataFrame:
     """Every (iid, pid) of a region and a point inside it; holes are outside.
 
     regions: iid, edges, lat_lo, lat_hi, lon_lo, lon_hi as ``regions_of`` makes them; points: pid, lon, lat.
-    The strips are twice the mean height of the regions, so that most are copied once or twice.
+    Regions are taken by classes of height, each ``CLASS`` times as high as the one before: the strips of a class fit it, so
+    that a region is copied to at most ``CLASS`` / 4 + 1 strips however its size differs from the others'. There are few
+    classes, and each one that occurs is one sweep over the points.
     """
-    mean = regions.agg(F.avg(F.col("lat_hi") - F.col("lat_lo"))).first()[0]
-    strip = min(10.0, max(1e-4, 2 * (mean or 1.0)))
-    return sweep_join(regions.select("iid", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "edges"), points.where(usable_location("lon", "lat")), strip, verify_inside, clip=True)
+    regions = regions.select("iid", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "edges")
+    height = F.greatest(F.col("lat_hi") - F.col("lat_lo"), F.lit(LOWEST))
+    regions = regions.withColumn("__class", F.floor(F.log(height / LOWEST) / math.log(CLASS)).cast("int"))
+    points = points.where(usable_location("lon", "lat"))
+    classes = sorted(r[0] for r in regions.select("__class").distinct().collect())
+    found = None
+    for k in classes or [0]:
+        pairs = sweep_join(regions.where(F.col("__class") == k).drop("__class"), points, 4 * LOWEST * CLASS**k, verify_inside, clip=True)
+        found = pairs if found is None else found.unionAll(pairs)
+    return found
