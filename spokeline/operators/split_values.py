@@ -400,7 +400,7 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
                 yield _batch(out, _NUMBERED_ARROW)
 
         seen = Observation()
-        step = grouped(alone, of_shapes).mapInArrow(expect, _NUMBERED)
+        step, before = grouped(alone, of_shapes).mapInArrow(expect, _NUMBERED), now
         now = scratch.keep(step.observe(seen, F.sum("moved").alias("moved"), F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))).alias("items")))
         moved, at_work = seen.get["moved"] or 0.0, seen.get["items"] or 0
         kept = now.where("i < j").select("field", F.explode(F.split(F.expr("substr(marks, i + 1, j - i)"), "")).alias("mark"), (F.col("n") * F.col("post")).alias("c"))
@@ -411,6 +411,7 @@ def segment_values(values: DataFrame, rounds: int | None = None) -> DataFrame:
         if of_shapes is None:
             alone = scratch.keep(plain.unionAll(pieces_alone.select("key", "shape", F.col("n").cast("double"))).groupBy("key", "shape").agg(F.sum("c").alias("c")))
             of_shapes = scratch.keep(alone.groupBy("shape").agg(F.sum("c").alias("s")))
+        scratch.drop(before)
         if moved <= SETTLED * at_work:
             break
 

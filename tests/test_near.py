@@ -52,6 +52,26 @@ def test_regions_with_holes_parts_and_wide_ones(spark):
     assert got == [("hole", 1), ("hole", 1), ("tiny", 6), ("two", 3), ("two", 4)]
 
 
+def test_regions_of_all_sizes_are_copied_a_few_times_at_most(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = [10 ** rng.uniform(-5, 1.3) for _ in range(60)]
+    boxes = [(k, float(rng.uniform(-20, 20)), float(rng.uniform(-20, 20)), s) for k, s in enumerate(sizes)]
+    text = lambda x, y, s: f"POLYGON (({x} {y}, {x + s} {y}, {x + s} {y + s}, {x} {y + s}, {x} {y}))"
+    regions = N.regions_of(spark.createDataFrame([(k, text(*b)) for k, *b in boxes], "iid int, g string"), "g")
+    spots = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-25, 40, size=(400, 2)))] + [(1000 + k, x + s / 2, y + s / 2) for k, x, y, s in boxes]
+    copies = []
+    plain = N.sweep_join
+
+    def counted(intervals, points, strip, *more, **named):
+        copies.append(intervals.agg(F.max(F.floor((F.col("lat_hi") + 90) / strip) - F.floor((F.col("lat_lo") + 90) / strip) + 1)).first()[0])
+        return plain(intervals, points, strip, *more, **named)
+
+    monkeypatch.setattr(N, "sweep_join", counted)
+    got = sorted(map(tuple, N.containing_regions(regions, spark.createDataFrame(spots, "pid int, lon double, lat double")).collect()))
+    assert got == sorted((k, p) for k, x, y, s in boxes for p, a, b in spots if x < a < x + s and y < b < y + s)
+    assert max(copies) <= N.CLASS / 4 + 1
+
+
 def test_empty_tables_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "iid long, lon double, lat double")
     points = spark.createDataFrame([(1, 1.0, 1.0)], "pid long, lon double, lat double").withColumns({"r": F.lit(1), "edges": F.lit(2), "strip": F.lit(3)})
