@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spokeline.rules import Program, apply
+from spokeline.session import keep
 
 
 @dataclass(frozen=True)
@@ -73,16 +74,23 @@ class AttributeRegistry:
         return [o for a in self.attributes.values() if a.scratch for o in a.outputs()]
 
     def run(self, ways: DataFrame, variables: Mapping[str, Any] | None = None, required: Sequence[str] = ("functional_class",), tag_map: str | None = "tags") -> DataFrame:
-        """Observed phase, rows without a required column dropped, scratch columns dropped, fallback phase."""
+        """Observed phase, rows without a required column dropped, scratch columns dropped, fallback phase.
+
+        The table is written before an attribute that reads flags made for it, and before the fallbacks: without that the
+        optimizer puts the expressions of all attributes into one another, each as often as it is read.
+        """
         if tag_map and tag_map in ways.columns:
             tag: dict[str, Column] = {t: F.try_element_at(F.col(tag_map), F.lit(t)) for t in self.tags() if t not in ways.columns}
             ways = ways.withColumns(tag) if tag else ways
+        flags = {a.name for a in self.attributes.values() if a.scratch}
         for a in self.ordered():
             if a.observed:
-                ways = apply(ways, a.observed, variables)
+                ways = apply(keep(ways) if flags & set(a.after) else ways, a.observed, variables)
         for c in required:
             ways = ways.where(F.col(c).isNotNull()) if c in ways.columns else ways
         ways = ways.drop(*self.scratch_columns())
+        if flags:
+            ways = keep(ways)
         for a in self.ordered():
             if a.fallback:
                 ways = apply_fallback(ways, a.fallback, variables)
