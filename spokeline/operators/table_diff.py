@@ -124,3 +124,13 @@ def diff_tables(reference: DataFrame, computed: DataFrame, keys: Sequence[str],
 def diff_report(differences: DataFrame) -> DataFrame:
     """(diff, n): how many rows are missing on either side, and in how many each column differs."""
     return differences.groupBy("diff").agg(F.count("*").alias("n_differ"))
+
+
+def diff_statistics(differences: DataFrame, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """(diff, n_differ, max_abs, mean_abs, p50, p95): how far the numbers of each differing column lie apart.
+
+    Only pairs of two numbers count for the distances; columns of texts, and missing rows, have none.
+    """
+    apart = F.abs(F.col("reference_value").try_cast("double") - F.col("computed_value").try_cast("double"))
+    found = differences.groupBy("diff").agg(F.count("*").alias("n_differ"), F.max(apart).alias("max_abs"), F.avg(apart).alias("mean_abs"), F.percentile(apart, [float(q) for q in shares]).alias("p"))
+    return found.select("diff", "n_differ", "max_abs", "mean_abs", *[F.get("p", k).alias(f"p{round(q * 100)}") for k, q in enumerate(shares)])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spokeline.operators.fill_missing import filled, propagate
 from spokeline.operators.near import containing_regions, near_points, regions_of, with_place
 from spokeline.operators.split_values import split_values
-from spokeline.operators.table_diff import diff_report, diff_tables
+from spokeline.operators.table_diff import diff_report, diff_statistics, diff_tables
 from spokeline.operators.units import convert_units, hundredths, source_units
 from spokeline.session import keep
 from spokeline.sources.tables import latest_rows, pad_code, table
@@ -78,6 +78,12 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return diff_report(_stress_differences(spark, d))
 
 
+def stress_distances(spark: SparkSession, d: str) -> DataFrame:
+    """How far both copies' numbers lie apart, by column."""
+    found = diff_statistics(_stress_differences(spark, d))
+    return found.select("diff", "n_differ", *[F.round(c, 5).alias(c) for c in ("max_abs", "mean_abs", "p50", "p95")])
+
+
 def _within(column: str, low: int, high: int) -> Column:
     return F.when(F.col(column).between(low, high), F.col(column))
 
@@ -109,7 +115,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionAll(out[1]).unionAll(of_codes)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "stress_distances": stress_distances, "p7_found": p7_found}
 
 
 def _latest(name: str, key: str, at: str) -> str:
@@ -144,7 +150,10 @@ def _filled_sql(field: str, low: int, high: int) -> str:
 _CODES = """city as (select lpad(fips_code_city, 7, '0') as code, min(case when speed between 5 and 85 then speed end) as speed from city_fips_speed where fips_code_city is not null group by 1),
     state as (select lpad(fips_code_state, 2, '0') as code, min(case when speed between 5 and 85 then speed end) as speed from state_fips_speed where fips_code_state is not null group by 1)"""
 
+_APART = f"""{_DIFFS}, q as (select d.diff, case d.diff {" ".join(f"when '{x}' then abs(r_{x} - c_{x})" for x in _NUMBERS)} end as v from d left join both_ on d.road_id = r_road_id and d.road_id = c_road_id)"""
+
 ORACLES = {
+    "stress_distances": f"with {_APART} select diff, count(*) as n_differ, round(max(v), 5) as max_abs, round(avg(v), 5) as mean_abs, round(quantile_cont(v, 0.5), 5) as p50, round(quantile_cont(v, 0.95), 5) as p95 from q group by 1",
     "p4_found": f"with {_DIFFS} select road_id, diff from d",
     "p4_report": f"with {_DIFFS} select diff, count(*) as n_differ from d group by 1",
     "p7_found": f"""with seg as (select *, case when city_fips is not null and functional_class is not null then lpad(city_fips, 7, '0') || '|' || functional_class end as town from {_latest("segments", "road_id", "extracted_at")}), {_CODES},
